@@ -9,7 +9,7 @@ from rippleflow.plans.joins import union_all
 
 ONE = 1e-12
 # Default substitution elasticities of the energy nest.
-ENERGY_NEST_ELASTICITIES = {"kle_m": 0.5, "kl_e": 0.5, "energy": 2.0}
+ENERGY_NEST_ELASTICITIES = {"kle_m": 0.5, "kl_e": 0.5, "energy": 1.5}
 
 
 def gdp(sam: DataFrame, sectors: list[str], factors: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ DEPRECIATION = 0.05
 NET_RETURN = 0.04
 
 
-def capital_next(stock, investment, depreciation=F.lit(DEPRECIATION), retirement=F.lit(0.0)):
+def capital_next(stock, investment, depreciation=DEPRECIATION, retirement=0.0):
     """(1 - depreciation)(1 - retirement) K + I."""
     return (1.0 - depreciation) * (1.0 - retirement) * stock + investment
 
