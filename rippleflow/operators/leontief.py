@@ -11,6 +11,7 @@ from rippleflow.operators.harmonise import CO2E, GWP100, total_by_label
 from rippleflow.plans.fixpoint import Propagator, iterate
 from rippleflow.plans.joins import union_all
 from rippleflow.schema import RESULT_COLUMNS
+from rippleflow.session import cut_lineage
 
 PER_MILLION = 1e-6
 TIERS = 3
@@ -133,10 +134,11 @@ def decompose(price: Propagator, cost: DataFrame, keys=("scenario_id", "year"),
     large numbers is taken and the parts add up to the total.
     """
     keys = list(keys)
-    hop = with_label(cost.select(*keys, "region", "sector", "cost"), "cost")
+    # Each hop feeds the next one and its own part, so it is computed once and kept.
+    hop = cut_lineage(with_label(cost.select(*keys, "region", "sector", "cost"), "cost"))
     parts = [hop.withColumn("part", F.lit("direct"))]
     for tier in range(1, tiers + 1):
-        hop = price.step(hop, keys)
+        hop = cut_lineage(price.step(hop, keys))
         parts.append(hop.withColumn("part", F.lit(f"upstream_tier_{tier}")))
     beyond = price.apply(price.step(hop, keys), keys)
     parts.append(beyond.withColumn("part", F.lit("upstream_residual")))
@@ -167,15 +169,15 @@ def price_run(price: Propagator, shocks: DataFrame, years: DataFrame, goods: Dat
     keys = ["scenario_id", "year"]
     cost = carbon_cost(shocks, years, goods, satellite)
     zero = goods_by_year(goods, years).select(*keys, "region", "sector", F.lit(0.0).alias("cost"))
-    cost = union_all([cost, zero]).groupBy(*keys, "region", "sector").agg(
-        F.sum("cost").alias("cost"))
+    cost = cut_lineage(union_all([cost, zero]).groupBy(*keys, "region", "sector").agg(
+        F.sum("cost").alias("cost")))
     parts = decompose(price, cost, keys)
     names = ["direct", *[f"upstream_tier_{t}" for t in range(1, TIERS + 1)], "upstream_residual"]
     # A good no supplier reaches still reports every part, as zero.
     frame = zero.select(*keys, "region", "sector", F.lit(0.0).alias("value"),
                         F.explode(F.array(*[F.lit(n) for n in names])).alias("part"))
-    parts = union_all([parts, frame]).groupBy(*keys, "region", "sector", "part").agg(
-        F.sum("value").alias("value"))
+    parts = cut_lineage(union_all([parts, frame]).groupBy(
+        *keys, "region", "sector", "part").agg(F.sum("value").alias("value")))
     total = parts.groupBy(*keys, "region", "sector").agg(F.sum("value").alias("value"))
     part_rows = as_results(parts, F.concat(F.lit("price_change_"), F.col("part")))
     if has_pins is None:

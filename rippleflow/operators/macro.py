@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rippleflow.operators.leontief import as_results
 from rippleflow.plans.joins import union_all
 from rippleflow.schema import ECONOMY
+from rippleflow.session import cut_lineage
 
 WEIGHT_FLOOR = 1e-12
 NEGATIVE_TOLERANCE = 1e-9
@@ -49,7 +50,7 @@ def gva_nominal(results: DataFrame, va: DataFrame) -> DataFrame:
     rows a run has the central band only. Goods without a row count as unchanged.
     """
     keys = ["scenario_id", "year"]
-    moves = results.where(F.col("variable").isin("price_change", "volume_change"))
+    moves = cut_lineage(results.where(F.col("variable").isin("price_change", "volume_change")))
     price = moves.where("variable = 'price_change'").select(
         *keys, "region", "sector", F.col("value").alias("p"))
     volume = moves.where("variable = 'volume_change'").select(
@@ -85,7 +86,7 @@ def gdp_by_region(moves: DataFrame) -> DataFrame:
 
 def macro_rows(results: DataFrame, va: DataFrame) -> DataFrame:
     """All macro rows of a run in the results layout."""
-    moves = gva_nominal(results, va)
+    moves = cut_lineage(gva_nominal(results, va))
     gdp = gdp_by_region(moves)
     region_rows = gdp.select(
         "scenario_id", "year", "band", "region", F.lit(ECONOMY).alias("sector"),
@@ -107,6 +108,7 @@ def macro_rows(results: DataFrame, va: DataFrame) -> DataFrame:
 
 def append_macro(results: DataFrame, va: DataFrame) -> DataFrame:
     """Add the macro rows once: scenarios without price rows or with macro rows stay as they are."""
+    results = cut_lineage(results)
     flags = results.groupBy("scenario_id").agg(
         F.max(F.col("variable") == "price_change").alias("priced"),
         F.max(F.col("variable").isin(*MACRO_VARIABLES)).alias("done"))

@@ -10,6 +10,7 @@ from rippleflow.operators.leontief import as_results, covered_goods, gross_outpu
 from rippleflow.plans.fixpoint import Propagator
 from rippleflow.plans.joins import union_all
 from rippleflow.schema import BANDS
+from rippleflow.session import cut_lineage
 
 # The demand elasticity band of a good without an entry of its own.
 DEFAULT_ELASTICITY = {"low": -0.8, "central": -0.5, "high": -0.2}
@@ -80,7 +81,8 @@ def volume_run(quantity: Propagator, prices: DataFrame, final_demand: DataFrame,
     demand = total_by_label(final_demand).withColumnRenamed("value", "y")
     band = F.explode(F.array(*[
         F.struct(F.lit(b).alias("band"), F.col(b).alias("elasticity")) for b in BANDS])).alias("b")
-    response = (
+    multiplier = cut_lineage(multiplier)
+    response = cut_lineage(
         prices.select(*keys, "region", "sector", F.col("value").alias("dp"))
         .join(elasticity_by_sector(output, elasticities), "sector")
         .select(*keys, "region", "sector", "dp", band)
