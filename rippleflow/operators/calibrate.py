@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippleflow.plans.joins import union_all
+from rippleflow.session import cut_lineage
 
 ONE = 1e-12
 # Default substitution elasticities of the energy nest.
@@ -20,8 +21,8 @@ def gdp(sam: DataFrame, sectors: list[str], factors: list[str]) -> DataFrame:
 
 def normalised(sam: DataFrame, sectors: list[str], factors: list[str]) -> DataFrame:
     """All cells as shares of GDP, so magnitudes are of order one."""
-    return sam.join(gdp(sam, sectors, factors)).select(
-        "row_acct", "col_acct", (F.col("value") / F.col("gdp")).alias("value"))
+    return cut_lineage(sam.join(gdp(sam, sectors, factors)).select(
+        "row_acct", "col_acct", (F.col("value") / F.col("gdp")).alias("value")))
 
 
 def calibration_shares(sam: DataFrame, sectors: list[str], factors: list[str],

@@ -10,6 +10,7 @@ from rippleflow.operators.harmonise import (
     coefficients_to_flows, flows_to_coefficients,
 )
 from rippleflow.plans.joins import union_all
+from rippleflow.session import literal_table
 
 SPLIT_MARK = " — "
 SHARE_FLOOR = 1e-4
@@ -31,8 +32,8 @@ def normalise(df: DataFrame, keys, col: str = "weight") -> DataFrame:
 
 def one_to_one(spark, mapping: dict[str, str]) -> DataFrame:
     """A concordance in which every source goes to one target with weight 1."""
-    return spark.createDataFrame(
-        [(s, t, 1.0) for s, t in mapping.items()], "source string, target string, weight double")
+    return literal_table(
+        spark, [(s, t, 1.0) for s, t in mapping.items()], "source string, target string, weight double")
 
 
 def one_to_one_from(df: DataFrame, source: str, target: str) -> DataFrame:
@@ -343,7 +344,7 @@ def fold_dust(flows: DataFrame, final_demand: DataFrame, regions: DataFrame,
     threshold = materiality * max(total, 1.0)
     group = {r["region"]: r["region"] for r in regions.select("region").distinct().collect()}
     for _ in range(len(group)):
-        mapping = spark.createDataFrame(list(group.items()), "region string, grp string")
+        mapping = literal_table(spark, list(group.items()), "region string, grp string")
         merged = (
             routes.join(mapping.select(F.col("region").alias("origin"), F.col("grp").alias("go")),
                         "origin")
@@ -367,6 +368,6 @@ def fold_dust(flows: DataFrame, final_demand: DataFrame, regions: DataFrame,
     if len(members) < 2:
         raise ValueError("folding leaves a single region: no material trade between regions")
     rows = [(r, "+".join(sorted(m))) for m in members.values() for r in m]
-    return spark.createDataFrame(rows, "region string, grp string")
+    return literal_table(spark, rows, "region string, grp string")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rippleflow.functions.labels import demand_institution
 from rippleflow.plans.joins import union_all
 from rippleflow.schema import INSTITUTIONS
+from rippleflow.session import literal_table
 
 # Tonnes per unit of mass.
 TONNES_PER_UNIT = {
@@ -22,8 +23,8 @@ CO2E = "CO2e"
 
 def lookup_table(spark, values: dict, key: str, value: str) -> DataFrame:
     """A fixed dictionary as a two-column table."""
-    return spark.createDataFrame(
-        [(k, float(v)) for k, v in values.items()], f"{key} string, {value} double")
+    return literal_table(
+        spark, [(k, float(v)) for k, v in values.items()], f"{key} string, {value} double")
 
 
 def axis(df: DataFrame, *columns: str) -> DataFrame:

@@ -27,9 +27,9 @@ def _cells(df: DataFrame, row, col, value="value") -> DataFrame:
 
 
 def _tidy(blocks: list[DataFrame]) -> DataFrame:
-    """Blocks added up per cell, zero cells dropped."""
-    return union_all(blocks).groupBy("row_acct", "col_acct").agg(
-        F.sum("value").alias("value")).where("value <> 0")
+    """Blocks added up per cell, zero cells dropped. Written once: every later step reads it often."""
+    return cut_lineage(union_all(blocks).groupBy("row_acct", "col_acct").agg(
+        F.sum("value").alias("value")).where("value <> 0"))
 
 
 def _share(capital_share: float) -> None:
@@ -102,14 +102,14 @@ def closed_sam(flows: DataFrame, final_demand: DataFrame, split: DataFrame | Non
                capital_share: float = CAPITAL_SHARE) -> DataFrame:
     """Single-region closed SAM: regions summed, value added split, demand to the institutions."""
     _share(capital_share)
-    acc = sector_accounts(flows, final_demand)
+    acc = cut_lineage(sector_accounts(flows, final_demand))
     blocks = [
         _cells(flows, F.col("i_sector"), F.col("j_sector"), "z"),
         *_factor_blocks(acc, F.col("sector"), F.lit(""), HOUSEHOLD, capital_share),
     ]
     if split is None:
         return _tidy([*blocks, _cells(acc, F.col("sector"), HOUSEHOLD, "fd")])
-    totals = institution_totals(split, acc)
+    totals = cut_lineage(institution_totals(split, acc))
     blocks += [
         _cells(totals, F.col("sector"), HOUSEHOLD, "household"),
         _cells(totals, F.col("sector"), GOVERNMENT, "gov"),
@@ -180,7 +180,7 @@ def open_sam(flows: DataFrame, final_demand: DataFrame, home: str, measured: boo
     The trade gap is a transfer in its own direction: a deficit flows in, a surplus flows out.
     """
     _share(capital_share)
-    acc = open_accounts(flows, final_demand, home, measured)
+    acc = cut_lineage(open_accounts(flows, final_demand, home, measured))
     act, com = F.concat(F.lit("a_"), F.col("sector")), F.concat(F.lit("c_"), F.col("sector"))
     gap = acc.agg((F.sum("imports") - F.sum("exports")).alias("gap"))
     return _tidy([
@@ -239,8 +239,8 @@ def multi_sam(flows: DataFrame, final_demand: DataFrame,
               capital_share: float = CAPITAL_SHARE) -> DataFrame:
     """Every region with its own activities, commodities, factors and household."""
     _share(capital_share)
-    trade = trade_cube(flows, final_demand)
-    acc = region_accounts(flows, final_demand)
+    trade = cut_lineage(trade_cube(flows, final_demand))
+    acc = cut_lineage(region_accounts(flows, final_demand))
 
     def account(prefix, region, sector):
         return F.concat(F.lit(prefix), F.col(region), F.lit("_"), F.col(sector))

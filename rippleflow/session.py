@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def local_session(cores: str | int = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -79,3 +80,37 @@ def sized_jobs(spark: SparkSession, rows: int | float | None) -> Iterator[int]:
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", str(current))
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def _sql_literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "true" if value else "false"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(value, float):
+        return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(_sql_literal(v) for v in value) + ")"
+    if isinstance(value, dict):
+        return "map(" + ", ".join(_sql_literal(x) for kv in value.items() for x in kv) + ")"
+    return repr(value)
+
+
+def literal_table(spark: SparkSession, rows, schema) -> DataFrame:
+    """A small parameter table as constants in the plan, so no Python worker serves its rows."""
+    layout = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    names = ", ".join(f"c{i}" for i in range(len(layout)))
+    casts = ", ".join(
+        f"CAST(c{i} AS {f.dataType.simpleString()}) AS `{f.name}`"
+        for i, f in enumerate(layout.fields))
+    if not rows:
+        return spark.sql("SELECT " + ", ".join(
+            f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in layout.fields
+        ) + " WHERE false")
+    # Typed per cell: columns may mix nulls, empty lists and values.
+    body = ", ".join(
+        "(" + ", ".join(f"CAST({_sql_literal(v)} AS {f.dataType.simpleString()})"
+                        for v, f in zip(row, layout.fields, strict=True)) + ")" for row in rows)
+    return spark.sql(f"SELECT {casts} FROM VALUES {body} AS t({names})")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rippleflow import schema
 from rippleflow.operators.quality import severity_rank
+from rippleflow.session import literal_table
 
 TABLES = {
     "coeff": schema.COEFF, "output": schema.OUTPUT, "final_demand": schema.FINAL_DEMAND,
@@ -112,7 +113,7 @@ class BuildStore:
         try:
             return self.spark.read.parquet(self._path(table))
         except AnalysisException:
-            return self.spark.createDataFrame([], layout)
+            return literal_table(self.spark, [], layout)
 
 
 def latest(catalogue: DataFrame) -> DataFrame:

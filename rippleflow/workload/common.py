@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleflow import schema
+from rippleflow.session import literal_table
 from rippleflow.workload.economy import CATEGORY_OF_SEGMENT
 
 
@@ -52,16 +53,16 @@ ELASTICITIES = [
 
 def shocks(spark: SparkSession, *scenarios: str) -> DataFrame:
     rows = [s for s in SHOCKS if not scenarios or s[0] in scenarios]
-    return spark.createDataFrame(rows, schema.SHOCK)
+    return literal_table(spark, rows, schema.SHOCK)
 
 
 def years(spark: SparkSession, *scenarios: str) -> DataFrame:
     rows = [(s, y) for s, ys in YEARS.items() if not scenarios or s in scenarios for y in ys]
-    return spark.createDataFrame(rows, schema.SCENARIO_YEAR)
+    return literal_table(spark, rows, schema.SCENARIO_YEAR)
 
 
 def elasticities(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(ELASTICITIES, schema.ELASTICITY)
+    return literal_table(spark, ELASTICITIES, schema.ELASTICITY)
 
 
 # -- SQL side ------------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from rippleflow.functions.hashing import content_hash, map_hash
 from rippleflow.functions.paths import level_at
 from rippleflow.operators import nature, panel
 from rippleflow.plans.joins import union_all
+from rippleflow.session import literal_table
 from rippleflow.workload import inputs
 from rippleflow.workload.common import COVERED, economy_sql, r6, rounded, values, with_sql
 from rippleflow.workload.economy import economy, read
@@ -74,8 +75,8 @@ def exposure_parts(spark, d):
 
 
 def _stress(spark):
-    return (spark.createDataFrame(STRESSES, schema.SHOCK),
-            spark.createDataFrame(STRESS_YEARS, schema.SCENARIO_YEAR))
+    return (literal_table(spark, STRESSES, schema.SHOCK),
+            literal_table(spark, STRESS_YEARS, schema.SCENARIO_YEAR))
 
 
 def stress_productivity(spark, d):
@@ -193,7 +194,7 @@ def benchmark_capital(spark, d):
 def trend_index(spark, d):
     y = read(spark, d, "orders").select(F.year("o_orderdate").alias("year"),
                                         F.col("o_orderstatus").alias("status")).distinct()
-    g = spark.createDataFrame([("labour", 0.01), ("tfp", 0.005)], "name string, g double")
+    g = literal_table(spark, [("labour", 0.01), ("tfp", 0.005)], "name string, g double")
     return rounded(panel.trend_index(y, g, ["status"]), "index")
 
 
@@ -202,7 +203,7 @@ def endowment_scale(spark, d):
     endow = e.output.groupBy("region").agg(F.sum("x").alias("x")).select(
         "region", F.explode(F.create_map(F.lit("CAP"), F.col("x") * 0.4, F.lit("LAB"),
                                          F.col("x") * 0.6)).alias("factor", "value"))
-    scale = spark.createDataFrame([("CAP", None, 1.2), ("LAB", "ASIA", 0.9)],
+    scale = literal_table(spark, [("CAP", None, 1.2), ("LAB", "ASIA", 0.9)],
                                   "factor string, region string, scale double")
     return rounded(panel.scale_endowments(endow, scale), "value", digits=7)
 
