@@ -10,7 +10,7 @@ from rippleflow.operators.harmonise import (
     coefficients_to_flows, flows_to_coefficients,
 )
 from rippleflow.plans.joins import union_all
-from rippleflow.session import literal_table
+from rippleflow.session import cut_lineage, literal_table
 
 SPLIT_MARK = " — "
 SHARE_FLOOR = 1e-4
@@ -248,15 +248,16 @@ def product_weights(concordance: DataFrame, candidates: DataFrame,
     """
     covered = concordance.select(F.col("source").alias("industry")).distinct()
     products = candidates.select("product").distinct()
-    equal = normalise(
+    equal = cut_lineage(normalise(
         candidates.join(covered, "industry", "left_semi").withColumn("weight", F.lit(1.0)),
-        "product")
+        "product"))
     if supply_shares is None:
         return equal.select(
             "product", "industry", "weight", F.lit("code-prefix-fallback").alias("method"),
             F.lit("no supply shares loaded").alias("reason"))
     seen = supply_shares.join(products, "product", "left_semi")
-    observed = normalise(seen.join(covered, "industry", "left_semi"), "product")
+    observed = cut_lineage(
+        normalise(seen.join(covered, "industry", "left_semi"), "product"))
     fallback = (
         equal.join(observed, "product", "left_anti")
         .join(seen.select("product", F.lit(True).alias("has_supply")).distinct(), "product", "left")
