@@ -47,7 +47,7 @@ def report_roll_up(spark, d):
 
 def negative_value_added(spark, d):
     e = economy(spark, d, "nation")
-    return rounded(macro.negative_value_added(e.coeff, e.output), "x", "share", "va", digits=7)
+    return rounded(macro.negative_value_added(e.coeff, e.output), "x", "share", "va")
 
 
 def violations_labels(spark, d):
@@ -256,7 +256,7 @@ def benchmark_replication(spark, d):
 def violations_dust(spark, d):
     e = economy(spark, d)
     t = sam.trade_cube(e.flows, e.final_demand)
-    cut = e.final_demand.agg((F.sum("value") * 0.005).alias("t")).first()["t"]
+    cut = e.final_demand.agg((F.sum("value") * 0.0065).alias("t")).first()["t"]
     return checks.dust_rules(t, cut)
 
 
@@ -333,7 +333,7 @@ SELECT 5 - w AS pass, CAST(w AS BIGINT) AS warn, CAST(0 AS BIGINT) AS fail, CASE
  (SELECT CAST(w AS BIGINT) AS w FROM w)""",
     "negative_value_added": _N + "," + _CS + f""",
 v AS (SELECT region, sector, x, s AS share, x * (1 - s) AS va FROM x JOIN cs USING (region, sector))
-SELECT region, sector, {r6('x', 7)} AS x, {r6('share', 7)} AS share, {r6('va', 7)} AS va FROM v
+SELECT region, sector, {r6('x')} AS x, {r6('share')} AS share, {r6('va')} AS va FROM v
 WHERE va < -1e-9 * greatest((SELECT sum(abs(va)) FROM v), 1.0)""",
     "violations_labels": "SELECT 'duplicate_label' AS rule, 'parts:' || p_name AS item FROM part GROUP BY p_name HAVING count(*) > 1",
     "violations_alignment": _E + """
@@ -373,7 +373,7 @@ SELECT rule, item FROM (VALUES ('price_negative', 'b:0'), ('gases_empty', 'b:1')
  ('gases_mixed', 'b:3'), ('carrier_blank', 'b:4'), ('change_below_minus_one', 'b:4'), ('delta_below_minus_one', 'b:5'),
  ('service_blank', 'b:6'), ('severity_range', 'b:6'), ('unknown_type', 'b:7'), ('unknown_sector', 'b:NOWHERE'),
  ('unknown_region', 'b:MARS'), ('unknown_carrier', 'b: '), ('unknown_carrier', 'b:COAL'), ('gas_missing', 'b:SF6'),
- ('gas_without_factor', 'b:SF6'), ('unsupported_shock', 'b:productivity'), ('unsupported_shock', 'b:nature_stress'),
+ ('gas_without_factor', 'b:SF6'), ('gas_negative', 'path:CH4'), ('unsupported_shock', 'b:productivity'), ('unsupported_shock', 'b:nature_stress'),
  ('unsupported_shock', 'b:magic'), ('unsupported_shock', 'supply:productivity')) t(rule, item) WHERE (SELECT count(*) FROM lineitem) > 0""",
     "violations_units": """
 SELECT rule, item FROM (VALUES ('satellite_unit', 'N2O=kg/MEUR'), ('monetary_unit', 'USD/MUSD')) t(rule, item)
@@ -414,7 +414,7 @@ SELECT rule, item FROM (VALUES ('government_receipt', 'GOV<-LARGE'), ('governmen
     "violations_dust": _E + """,
 c AS (SELECT origin, dest, sector, sum(v) AS v FROM (SELECT i_region AS origin, j_region AS dest, i_sector AS sector, z AS v FROM z
  UNION ALL SELECT region, d_region, sector, value FROM fd) GROUP BY 1, 2, 3)
-SELECT 'dust_route' AS rule, concat_ws(':', origin, dest, sector) AS item FROM c WHERE origin <> dest AND v > 0 AND v < 0.005 * (SELECT sum(value) FROM fd)""",
+SELECT 'dust_route' AS rule, concat_ws(':', origin, dest, sector) AS item FROM c WHERE origin <> dest AND v > 0 AND v < 0.0065 * (SELECT sum(value) FROM fd)""",
     "carbon_share_table": _E + f"""
 SELECT region, sector, {r6("CASE WHEN sector = 'PROMO' THEN 0.0 ELSE intensity * 1e-6 END", 10)} AS share FROM sat WHERE stressor = 'CO2'""",
     "fingerprint": _E + """

@@ -160,7 +160,7 @@ def bilateral_trade(spark, d):
 
 def dust_folding(spark, d):
     e = economy(spark, d)
-    return concord.fold_dust(e.flows, e.final_demand, e.output, materiality=0.005)
+    return concord.fold_dust(e.flows, e.final_demand, e.output, materiality=0.0065)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -319,5 +319,5 @@ SELECT sg.target AS grp, sg.source FROM sg WHERE sg.weight > 0.5 AND sg.source N
 SELECT origin, dest, sector, {r6('sum(v)')} AS value FROM (
  SELECT i_region AS origin, j_region AS dest, i_sector AS sector, z AS v FROM z UNION ALL
  SELECT region, d_region, sector, value FROM fd) WHERE origin <> dest GROUP BY 1, 2, 3""",
-    "dust_folding": _fold_sql(5, 0.005),
+    "dust_folding": _fold_sql(5, 0.0065),
 }
