@@ -56,8 +56,8 @@ def write_supply_shares(shares: DataFrame, zero_products: DataFrame, path: str,
     """Supply shares as one JSON document (product- and industry-sized) with its provenance."""
     per_product = shares.groupBy("product").agg(F.map_from_entries(F.array_sort(F.collect_list(
         F.struct("industry", "weight")))).alias("w"))
-    body = per_product.agg(F.map_from_entries(F.array_sort(F.collect_list(
-        F.struct("product", "w")))).alias("shares"))
+    body = per_product.agg(F.map_from_entries(F.collect_list(
+        F.struct("product", "w"))).alias("shares"))
     none = zero_products.agg(F.sort_array(F.collect_list("product")).alias("zero"))
     body.join(none).select(
         F.struct(F.lit(year).alias("sut_year"), F.lit(version).alias("sut_version"),
