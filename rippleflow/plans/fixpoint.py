@@ -226,23 +226,27 @@ def iterate(
         *keys, "label", F.col("value").alias("term"), F.col("value").alias("total"),
         (F.col(damp) if damp else F.lit(1.0)).alias("scale"),
     ))
-    # Every label of the links needs a state row for every key of the vector.
-    nodes = links.select(*link_keys, F.explode(F.array("src", "dst")).alias("label")).distinct()
-    extra = [k for k in keys if k not in link_keys]
-    frame = nodes
-    if keys:
-        wanted = seed.select(*keys).distinct()
-        frame = (nodes.join(wanted, link_keys) if link_keys else nodes.crossJoin(wanted)
-                 ) if extra else nodes.join(wanted, link_keys, "left_semi")
-    missing = frame.join(seed, [*keys, "label"], "left_anti").select(
-        *keys, "label", F.lit(0.0).alias("term"), F.lit(0.0).alias("total"),
-        F.lit(1.0).alias("scale"))
-    state = cut_lineage(seed.unionByName(missing))
+    n_links, n_seed = links.count(), seed.count()
+    with sized_jobs(spark, max(n_links, n_seed)):
+        # Every label of the links needs a state row for every key of the vector.
+        nodes = links.select(*link_keys, F.explode(F.array("src", "dst")).alias("label")).distinct()
+        extra = [k for k in keys if k not in link_keys]
+        frame = nodes
+        if keys:
+            wanted = seed.select(*keys).distinct()
+            frame = (nodes.join(wanted, link_keys) if link_keys else nodes.crossJoin(wanted)
+                     ) if extra else nodes.join(wanted, link_keys, "left_semi")
+        blank = frame.select(
+            *keys, "label", F.lit(None).cast("double").alias("term"),
+            F.lit(None).cast("double").alias("total"), F.lit(None).cast("double").alias("scale"))
+        state = cut_lineage(seed.unionByName(blank).groupBy(*keys, "label").agg(
+            F.coalesce(F.sum("term"), F.lit(0.0)).alias("term"),
+            F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"),
+            F.coalesce(F.max("scale"), F.lit(1.0)).alias("scale")))
     loops = state.select(
         *link_keys, F.col("label").alias("src"), F.col("label").alias("dst"),
         F.lit(0.0).alias("w"), F.lit(True).alias("own")).distinct()
-    rows = state.count()
-    with sized_jobs(spark, max(rows, links.count())):
+    with sized_jobs(spark, max(n_links, state.count())):
         chain = (
             links.select(*link_keys, "src", "dst", "w", F.lit(False).alias("own"))
             .unionByName(loops).repartition("src").persist()
