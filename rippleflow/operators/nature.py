@@ -18,7 +18,7 @@ NOT_APPLICABLE = ("N/A", "NA", "NAN", "")
 BOUND_TOLERANCE = 1e-9
 MIN_LOSS = 1e-9
 # Which incidence suits a model (one that propagates by itself takes direct).
-INCIDENCE_BY_ENGINE = {"cge_static": "direct", "io_price": "direct", "partial_eq": "total"}
+INCIDENCE_BY_MODEL = {"equilibrium": "direct", "price": "direct", "volume": "total"}
 DEFAULT_INCIDENCE = "total"
 # A combined water service and the services it already contains.
 COMBINED_WATER = "water supply"

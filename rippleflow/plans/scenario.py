@@ -100,7 +100,7 @@ def run(build: Build, shocks: DataFrame, years: DataFrame, model: str = "volume"
     if has_nature:
         shocks = translate_nature(
             build, shocks, years,
-            incidence or nature.INCIDENCE_BY_ENGINE["partial_eq" if model == "volume" else "io_price"],
+            incidence or nature.INCIDENCE_BY_MODEL[model],
             rule, threshold).persist()
     has_pins = not shocks.where("type = 'energy_price'").isEmpty()
     if validate and has_pins:

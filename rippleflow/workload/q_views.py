@@ -31,7 +31,7 @@ def results(spark, d):
     return e._memo("results", lambda: _make(spark, d))
 
 
-def _cge_like(spark, d):
+def _equilibrium_like(spark, d):
     """The same rows under the names an equilibrium run uses."""
     names = {"gdp_change": "gdp_change_nominal", "deflator": "gdp_deflator_change",
              "gva_change_real": "gva_volume_change", "final_demand_change": "import_change",
@@ -56,7 +56,7 @@ def variables(spark, d):
 
 def presence(spark, d):
     return views.presence(results(spark, d)).withColumn("form", F.lit("volume")).unionByName(
-        views.presence(_cge_like(spark, d)).withColumn("form", F.lit("equilibrium")))
+        views.presence(_equilibrium_like(spark, d)).withColumn("form", F.lit("equilibrium")))
 
 
 def waterfall(spark, d):
@@ -84,16 +84,16 @@ def gdp_table(spark, d):
 
 def gva_table(spark, d):
     return rounded(views.gva_table(results(spark, d)).unionByName(
-        views.gva_table(_cge_like(spark, d)).withColumn("scenario_id", F.concat(
+        views.gva_table(_equilibrium_like(spark, d)).withColumn("scenario_id", F.concat(
             F.lit("eq:"), "scenario_id"))), "gva_nominal", "gva_real")
 
 
 def trade_table(spark, d):
-    return rounded(views.trade_table(_cge_like(spark, d)), "import_change", "export_change")
+    return rounded(views.trade_table(_equilibrium_like(spark, d)), "import_change", "export_change")
 
 
 def factor_and_rate_tables(spark, d):
-    r = _cge_like(spark, d)
+    r = _equilibrium_like(spark, d)
     f = views.factor_price_table(r).select("scenario_id", "region", "year", "factor",
                                            F.col("factor_price_change").alias("value"))
     x = views.exchange_rate_table(r).groupBy("scenario_id", "region", "year").agg(
@@ -102,12 +102,12 @@ def factor_and_rate_tables(spark, d):
 
 
 def welfare_table(spark, d):
-    return rounded(views.welfare_table(_cge_like(spark, d)), "welfare_change", "carbon_revenue")
+    return rounded(views.welfare_table(_equilibrium_like(spark, d)), "welfare_change", "carbon_revenue")
 
 
 def macro_headline(spark, d):
     a = views.macro_headline(results(spark, d)).withColumn("form", F.lit("volume"))
-    b = views.macro_headline(_cge_like(spark, d)).withColumn("form", F.lit("equilibrium"))
+    b = views.macro_headline(_equilibrium_like(spark, d)).withColumn("form", F.lit("equilibrium"))
     return rounded(a.unionByName(b), "nominal", "real", "deflator")
 
 
