@@ -121,8 +121,7 @@ def exposure_violations(coeff: DataFrame, direct: DataFrame) -> DataFrame:
     return union_all([bad_a, bad_d, bad_c])
 
 
-def exposure_weighted(coeff: DataFrame, direct: DataFrame, tol: float = 1e-13,
-                      max_rounds: int = 1000) -> DataFrame:
+def exposure_weighted(coeff: DataFrame, direct: DataFrame, tol: float = 1e-13) -> DataFrame:
     """Exposure raised by the input-weighted exposure of suppliers, scaled by the headroom.
 
     E = D + (1 - D) * sum_i a_ij E_i, all services in one pass (the headroom is the damping).
@@ -130,22 +129,20 @@ def exposure_weighted(coeff: DataFrame, direct: DataFrame, tol: float = 1e-13,
     d = F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))
     seed = direct.select("service", label().alias("label"), d.alias("value"),
                          (1.0 - d).alias("headroom"))
-    solved = iterate(price_links(coeff), seed, ["service"], damp="headroom", tol=tol,
-                     max_rounds=max_rounds)
+    solved = iterate(price_links(coeff), seed, ["service"], damp="headroom", tol=tol)
     return split_label(solved).select(
         "region", "sector", "service",
         F.least(F.greatest("value", F.lit(0.0)), F.lit(1.0)).alias("exposure"))
 
 
-def exposure_max(coeff: DataFrame, direct: DataFrame, threshold: float = 0.0,
-                 max_rounds: int = 1000) -> DataFrame:
+def exposure_max(coeff: DataFrame, direct: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Exposure of the most exposed supplier reachable over links above ``threshold``."""
     if not (threshold >= 0.0 and threshold != float("inf")):
         raise ValueError(f"threshold must be finite and >= 0, got {threshold!r}")
     links = price_links(coeff.where(F.col("a") > threshold))
     seed = direct.select("service", label().alias("label"),
                          F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)).alias("value"))
-    solved = spread(links, seed, ["service"], how="max", max_rounds=max_rounds)
+    solved = spread(links, seed, ["service"], how="max")
     return split_label(solved).select(
         "region", "sector", "service", F.col("value").alias("exposure"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rippleflow.operators.quality import check
 from rippleflow.plans.fixpoint import NotConverged, spread
 from rippleflow.plans.joins import union_all
-from rippleflow.session import cut_lineage, sized_jobs
+from rippleflow.session import cut_lineage
 
 CAPITAL_SHARE = 0.4
 SPLIT_GAP_LIMIT = 0.01
@@ -303,54 +303,52 @@ def ras(sam: DataFrame, targets: DataFrame, tol: float = 1e-9, max_rounds: int =
     # Only accounts with a target take part, like rows of the target's index.
     accts = targets.select("account", F.col("target").cast("double").alias("t"))
     cells = sam.groupBy("row_acct", "col_acct").agg(F.sum("value").alias("v"))
-    rows = accts.count() + cells.count()
-    with sized_jobs(spark, rows):
-        own = accts.select(F.col("account").alias("row_acct"), F.col("account").alias("col_acct"),
-                           F.lit(0.0).alias("v"), F.lit(True).alias("own"))
-        chain = cut_lineage(cells.withColumn("own", F.lit(False)).unionByName(own))
-        by_col, by_row = chain.repartition("col_acct").persist(), chain.repartition("row_acct").persist()
-        state = cut_lineage(accts.select("account", "t", F.lit(1.0).alias("r"),
-                                         F.lit(1.0).alias("s"), F.lit(0.0).alias("gap")))
-        keep = ("max(if(own, s.t, null)) AS t, max(if(own, s.r, null)) AS r, "
-                "max(if(own, s.s, null)) AS s")
-        done, worst = 0, None
-        try:
-            while done < max_rounds:
-                parts = ["b0 AS (SELECT * FROM {state})"]
-                for k in range(1, rounds_per_step + 1):
-                    parts.append(
-                        f"q{k} AS (SELECT /*+ SHUFFLE_HASH(s) */ c.row_acct AS account, "
-                        f"sum(c.v * s.s) AS q, max(if(own, s.gap, null)) AS gap, {keep} "
-                        f"FROM {{by_col}} c JOIN b{k - 1} s ON s.account = c.col_acct "
-                        "GROUP BY c.row_acct)")
-                    parts.append(
-                        f"a{k} AS (SELECT account, t, s, if(r * q > 0, t / q, r) AS r, "
-                        f"abs(r * q - t) AS gap FROM q{k})")
-                    parts.append(
-                        f"p{k} AS (SELECT /*+ SHUFFLE_HASH(s) */ c.col_acct AS account, "
-                        f"sum(c.v * s.r) AS q, max(if(own, s.gap, null)) AS gap, {keep} "
-                        f"FROM {{by_row}} c JOIN a{k} s ON s.account = c.row_acct "
-                        "GROUP BY c.col_acct)")
-                    parts.append(
-                        f"b{k} AS (SELECT account, t, r, if(s * q > 0, t / q, s) AS s, "
-                        f"greatest(gap, if(s * q > 0, 0.0D, abs(s * q - t))) AS gap FROM p{k})")
-                state = cut_lineage(spark.sql(
-                    "WITH " + ", ".join(parts) + f" SELECT * FROM b{rounds_per_step}",
-                    state=state, by_col=by_col, by_row=by_row))
-                done += rounds_per_step
-                # The gap was measured on the factors of the round before the last.
-                worst = state.agg(F.max("gap").alias("g")).first()["g"]
-                if worst is None or worst < tol:
-                    break
-            else:
-                raise NotConverged(f"RAS did not converge in {max_rounds} rounds ({worst:.2e})")
-        finally:
-            by_col.unpersist()
-            by_row.unpersist()
+    own = accts.select(F.col("account").alias("row_acct"), F.col("account").alias("col_acct"),
+                       F.lit(0.0).alias("v"), F.lit(True).alias("own"))
+    chain = cut_lineage(cells.withColumn("own", F.lit(False)).unionByName(own))
+    by_col, by_row = chain.repartition("col_acct").persist(), chain.repartition("row_acct").persist()
+    state = cut_lineage(accts.select("account", "t", F.lit(1.0).alias("r"),
+                                     F.lit(1.0).alias("s"), F.lit(0.0).alias("gap")))
+    keep = ("max(if(own, s.t, null)) AS t, max(if(own, s.r, null)) AS r, "
+            "max(if(own, s.s, null)) AS s")
+    done, worst = 0, None
+    try:
+        while done < max_rounds:
+            parts = ["b0 AS (SELECT * FROM {state})"]
+            for k in range(1, rounds_per_step + 1):
+                parts.append(
+                    f"q{k} AS (SELECT c.row_acct AS account, "
+                    f"sum(c.v * s.s) AS q, max(if(own, s.gap, null)) AS gap, {keep} "
+                    f"FROM {{by_col}} c JOIN b{k - 1} s ON s.account = c.col_acct "
+                    "GROUP BY c.row_acct)")
+                parts.append(
+                    f"a{k} AS (SELECT account, t, s, if(r * q > 0, t / q, r) AS r, "
+                    f"abs(r * q - t) AS gap FROM q{k})")
+                parts.append(
+                    f"p{k} AS (SELECT c.col_acct AS account, "
+                    f"sum(c.v * s.r) AS q, max(if(own, s.gap, null)) AS gap, {keep} "
+                    f"FROM {{by_row}} c JOIN a{k} s ON s.account = c.row_acct "
+                    "GROUP BY c.col_acct)")
+                parts.append(
+                    f"b{k} AS (SELECT account, t, r, if(s * q > 0, t / q, s) AS s, "
+                    f"greatest(gap, if(s * q > 0, 0.0D, abs(s * q - t))) AS gap FROM p{k})")
+            state = cut_lineage(spark.sql(
+                "WITH " + ", ".join(parts) + f" SELECT * FROM b{rounds_per_step}",
+                state=state, by_col=by_col, by_row=by_row))
+            done += rounds_per_step
+            # The gap was measured on the factors of the round before the last.
+            worst = state.agg(F.max("gap").alias("g")).first()["g"]
+            if worst is None or worst < tol:
+                break
+        else:
+            raise NotConverged(f"RAS did not converge in {max_rounds} rounds ({worst:.2e})")
+    finally:
+        by_col.unpersist()
+        by_row.unpersist()
     r = state.select(F.col("account").alias("row_acct"), "r")
     s = state.select(F.col("account").alias("col_acct"), "s")
     return cells.join(r, "row_acct").join(s, "col_acct").select(
-        "row_acct", "col_acct", (F.col("v") * F.col("r") * F.col("s")).alias("value"))
+    "row_acct", "col_acct", (F.col("v") * F.col("r") * F.col("s")).alias("value"))
 
 
 def balance(sam: DataFrame, tol: float = 1e-6) -> tuple[DataFrame, DataFrame | None]:

@@ -10,13 +10,18 @@ Two strategies, chosen by a measured cost:
 * ``Propagator`` squares the link table, so log2(rounds) jobs give the full sum of powers, which
   every later right-hand side reuses with a single join. Squaring fills the table in, so it is used
   only while the cube of the number of labels stays under a budget.
-* ``iterate`` keeps the link table as it is, hash-partitioned and cached, and moves only the vector.
-  This is the way for tables with many thousands of labels.
+* ``iterate`` keeps the link table as it is and moves only the vector. This is the way for tables
+  with many thousands of labels.
+
+The budget decides the plan alone. Both go on until what is missing from every value is below the
+tolerance, however many rounds that takes, and both raise ``NotProductive`` for the same tables.
 
 The vector trick of ``iterate``: the link table carries one extra row per label pointing at itself.
 It hands the running total (and any per-label constants) to the next round inside the same join, so
 one round is one join and one aggregation, and the plan stays a chain that can be unrolled a few
-rounds between checkpoints.
+rounds between checkpoints. A link table that is measured to be small is broadcast: then a round
+moves only the state, by all its keys, and thousands of scenarios spread over all tasks. A larger
+one is joined by shuffle, where adaptive execution splits labels with many scenarios.
 """
 
 from __future__ import annotations
@@ -26,13 +31,16 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleflow.plans.joins import BROADCAST_ROWS
-from rippleflow.session import cut_lineage, sized_jobs
+from rippleflow.plans.joins import BROADCAST_ROWS, fits_broadcast
+from rippleflow.session import cut_lineage
 
-SQUARING_BUDGET = 1_000_000
-MAX_LEVELS = 14
+SQUARING_BUDGET = 100_000_000
+#: 2 ** 50 rounds: no table with a radius below 1 in double precision needs more.
+MAX_LEVELS = 50
 TOLERANCE = 1e-13
-OVERFLOW = 1e30
+OVERFLOW = 1e300
+#: Terms that still grow after so many rounds call for a bound of the spectral radius.
+GROWTH_ROUNDS = 64
 
 
 class NotProductive(ValueError):
@@ -52,13 +60,12 @@ def _names(columns, prefix="") -> str:
 
 
 def _rounds(chain: DataFrame, state: DataFrame, keys, link_keys, count: int,
-            outputs: str) -> DataFrame:
+            outputs: str, small: bool) -> DataFrame:
     """``count`` rounds of join-and-aggregate along ``chain`` as one statement.
 
-    A round joins the state to the chain at ``src`` and groups what arrives by ``dst``. The chain
-    stays where it is, partitioned by ``src``; only the state moves, and is hashed per partition.
+    A round joins the state to the chain at ``src`` and groups what arrives by ``dst``.
     """
-    hint = "/*+ SHUFFLE_HASH(s) */ "
+    hint = "/*+ BROADCAST(c) */ " if small else ""
     on = "".join(f" AND c.`{k}` = s.`{k}`" for k in link_keys)
     parts = ["r0 AS (SELECT * FROM {state})"]
     for i in range(1, count + 1):
@@ -104,10 +111,9 @@ class Propagator:
             per_system = per_label.groupBy(*self.keys).agg(
                 F.count("*").cast("double").alias("n"), F.max("out").alias("out"),
                 F.max("into").alias("into"))
-            with sized_jobs(self.links.sparkSession, self.cells):
-                row = per_system.agg(
-                    F.sum(F.pow("n", 3)).alias("cubes"), F.sum(F.pow("n", 2)).alias("squares"),
-                    F.max(F.least("out", "into")).alias("norm")).first()
+            row = per_system.agg(
+                F.sum(F.pow("n", 3)).alias("cubes"), F.sum(F.pow("n", 2)).alias("squares"),
+                F.max(F.least("out", "into")).alias("norm")).first()
             self._stats = {k: (row[k] or 0.0) for k in ("cubes", "squares", "norm")}
         return self._stats
 
@@ -135,33 +141,32 @@ class Propagator:
             return self._total
         keys, cells = self.keys, self.stats["squares"]
         levels = self._levels_needed()
-        with sized_jobs(self.links.sparkSession, self.stats["cubes"] / 4):
-            eye = self.nodes().select(
-                *keys, F.lit("sum").alias("part"), F.col("label").alias("src"),
-                F.col("label").alias("dst"), F.lit(1.0).alias("w"))
-            power = self.links.select(*keys, F.lit("power").alias("part"), "src", "dst", "w")
-            state = cut_lineage(eye.unionByName(power))
-            level = 0
-            while levels is None or level < levels:
-                if levels is None:
-                    size = self._norm(state)
-                    if size < self.tol:
-                        break
-                    if not size < OVERFLOW or level >= MAX_LEVELS:
-                        raise NotProductive(
-                            f"powers of the link table do not vanish (norm {size:.3e} after "
-                            f"{2 ** level} rounds): spectral radius >= 1")
-                hint = "/*+ BROADCAST(p) */ " if cells <= BROADCAST_ROWS else ""
-                on = "".join(f" AND l.`{k}` = p.`{k}`" for k in keys)
-                state = cut_lineage(self.links.sparkSession.sql(
-                    f"SELECT {_names(keys)}part, src, dst, sum(w) AS w FROM ("
-                    f"SELECT {_names(keys)}part, src, dst, w FROM {{s}} WHERE part = 'sum' "
-                    f"UNION ALL SELECT {hint}{_names(keys, 'l.')}l.part, l.src, p.dst, l.w * p.w "
-                    f"FROM {{s}} l JOIN {{s}} p ON l.dst = p.src{on} AND p.part = 'power'"
-                    f") GROUP BY {_names(keys)}part, src, dst", s=state))
-                level += 1
-            self._total = cut_lineage(
-                state.where("part = 'sum'").select(*keys, "src", "dst", "w"))
+        eye = self.nodes().select(
+            *keys, F.lit("sum").alias("part"), F.col("label").alias("src"),
+            F.col("label").alias("dst"), F.lit(1.0).alias("w"))
+        power = self.links.select(*keys, F.lit("power").alias("part"), "src", "dst", "w")
+        state = cut_lineage(eye.unionByName(power))
+        level = 0
+        while levels is None or level < levels:
+            if levels is None:
+                size = self._norm(state)
+                if size < self.tol:
+                    break
+                if not size < OVERFLOW or level >= MAX_LEVELS:
+                    raise NotProductive(
+                        f"powers of the link table do not vanish (norm {size:.3e} after "
+                        f"{2 ** level} rounds): spectral radius >= 1")
+            hint = "/*+ BROADCAST(p) */ " if cells <= BROADCAST_ROWS else ""
+            on = "".join(f" AND l.`{k}` = p.`{k}`" for k in keys)
+            state = cut_lineage(self.links.sparkSession.sql(
+                f"SELECT {_names(keys)}part, src, dst, sum(w) AS w FROM ("
+                f"SELECT {_names(keys)}part, src, dst, w FROM {{s}} WHERE part = 'sum' "
+                f"UNION ALL SELECT {hint}{_names(keys, 'l.')}l.part, l.src, p.dst, l.w * p.w "
+                f"FROM {{s}} l JOIN {{s}} p ON l.dst = p.src{on} AND p.part = 'power'"
+                f") GROUP BY {_names(keys)}part, src, dst", s=state))
+            level += 1
+        self._total = cut_lineage(
+            state.where("part = 'sum'").select(*keys, "src", "dst", "w"))
         return self._total
 
     def _norm(self, state: DataFrame) -> float:
@@ -211,7 +216,6 @@ def iterate(
     link_keys=(),
     damp: str | None = None,
     tol: float = 1e-12,
-    max_rounds: int = 1000,
     hops: int = 8,
 ) -> DataFrame:
     """Sum of powers applied to ``vector`` by moving the vector only.
@@ -219,130 +223,175 @@ def iterate(
     ``damp`` names a column of ``vector`` that scales what a label receives in every round (0 pins
     the label to its own value). Every ``hops`` rounds the state is written to the checkpoint
     directory, so a lost executor costs at most that many rounds.
+
+    It ends when for every key, and every label of it, the rest of the sum is below ``tol`` times
+    the label's own sum of absolute terms. The rest is bounded by the last term times q / (1 - q),
+    where q is the key's ratio of successive terms, measured over the last ``hops`` rounds. A key
+    whose terms are large neither ends nor prolongs another one.
     """
     keys, link_keys = list(keys), list(link_keys)
-    spark = vector.sparkSession
     seed = cut_lineage(vector.select(
         *keys, "label", F.col("value").alias("term"), F.col("value").alias("total"),
         (F.col(damp) if damp else F.lit(1.0)).alias("scale"),
     ))
-    n_links, n_seed = links.count(), seed.count()
-    with sized_jobs(spark, max(n_links, n_seed)):
-        # Every label of the links needs a state row for every key of the vector.
-        nodes = links.select(*link_keys, F.explode(F.array("src", "dst")).alias("label")).distinct()
-        extra = [k for k in keys if k not in link_keys]
-        frame = nodes
-        if keys:
-            wanted = seed.select(*keys).distinct()
-            frame = (nodes.join(wanted, link_keys) if link_keys else nodes.crossJoin(wanted)
-                     ) if extra else nodes.join(wanted, link_keys, "left_semi")
-        blank = frame.select(
-            *keys, "label", F.lit(None).cast("double").alias("term"),
-            F.lit(None).cast("double").alias("total"), F.lit(None).cast("double").alias("scale"))
-        state = cut_lineage(seed.unionByName(blank).groupBy(*keys, "label").agg(
-            F.coalesce(F.sum("term"), F.lit(0.0)).alias("term"),
-            F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"),
-            F.coalesce(F.max("scale"), F.lit(1.0)).alias("scale")))
+    # Every label of the links needs a state row for every key of the vector.
+    nodes = links.select(*link_keys, F.explode(F.array("src", "dst")).alias("label")).distinct()
+    frame = nodes
+    if keys:
+        wanted = seed.select(*keys).distinct()
+        if not link_keys:
+            frame = nodes.crossJoin(wanted)
+        elif set(keys) - set(link_keys):
+            frame = nodes.join(wanted, link_keys)
+        else:
+            frame = nodes.join(wanted, link_keys, "left_semi")
+    blank = frame.select(*keys, "label", *[
+        F.lit(None).cast("double").alias(c) for c in ("term", "total", "scale")])
+    state = cut_lineage(seed.unionByName(blank).groupBy(*keys, "label").agg(
+        F.coalesce(F.sum("term"), F.lit(0.0)).alias("term"),
+        F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"),
+        F.coalesce(F.max("scale"), F.lit(1.0)).alias("scale"))
+        .withColumn("mass", F.abs("total")))
     loops = state.select(
         *link_keys, F.col("label").alias("src"), F.col("label").alias("dst"),
         F.lit(0.0).alias("w"), F.lit(True).alias("own")).distinct()
-    with sized_jobs(spark, max(n_links, state.count())):
-        chain = (
-            links.select(*link_keys, "src", "dst", "w", F.lit(False).alias("own"))
-            .unionByName(loops).repartition("src").persist()
-        )
-        done = 0
-        try:
-            while done < max_rounds:
-                steps = min(hops, max_rounds - done)
-                state = _rounds(
-                    chain, state, keys, link_keys, steps,
-                    "max(if(own, scale, null)) * sum(w * term) AS term, "
-                    "max(if(own, total, null)) + max(if(own, scale, null)) * sum(w * term) AS total, "
-                    "max(if(own, scale, null)) AS scale")
-                done += steps
-                state = cut_lineage(state)
-                size = state.agg(F.max(F.abs("term")).alias("term"),
-                                 F.max(F.abs("total")).alias("total")).first()
-                if size["term"] is None or size["term"] <= tol * max(1.0, size["total"]):
-                    return state.select(*keys, "label", F.col("total").alias("value"))
-                if not size["term"] < OVERFLOW:
-                    raise NotProductive(f"values grow without bound ({size['term']:.3e})")
-            raise NotConverged(
-                f"no convergence in {max_rounds} rounds (last step {size['term']:.3e})")
-        finally:
-            chain.unpersist()
+    chain = (
+        links.select(*link_keys, "src", "dst", "w", F.lit(False).alias("own"))
+        .unionByName(loops).repartition("src").persist()
+    )
+    small = fits_broadcast(chain)
+    before = F.pow(F.when(F.col("past") > 0, F.col("now") / F.col("past")).otherwise(0.0),
+                   1.0 / hops)
+    rest = F.when(F.col("share") <= 0, 0.0).when(
+        F.col("ratio") < 1, F.col("share") * F.col("ratio") / (1 - F.col("ratio"))
+    ).otherwise(float("inf"))
+    rounds, growing = 0, 0
+    try:
+        while True:
+            state = cut_lineage(_rounds(
+                chain, state.withColumn("past", F.abs("term")), keys, link_keys, hops,
+                "max(if(own, scale, null)) * sum(w * term) AS term, "
+                "max(if(own, total, null)) + max(if(own, scale, null)) * sum(w * term) AS total, "
+                "max(if(own, scale, null)) AS scale, "
+                "max(if(own, mass, null)) + abs(max(if(own, scale, null)) * sum(w * term)) AS mass, "
+                "max(if(own, past, null)) AS past", small))
+            rounds += hops
+            got = (state.groupBy(*keys).agg(
+                F.sum(F.abs("term")).alias("now"), F.sum("past").alias("past"),
+                F.max(F.when(F.col("mass") > 0, F.abs("term") / F.col("mass"))
+                      .otherwise(0.0)).alias("share"))
+                .withColumn("ratio", before).select("ratio", "now", rest.alias("rest"))
+                .agg(F.max("rest").alias("rest"), F.max("ratio").alias("ratio"),
+                     F.max("now").alias("now"))).first()
+            if got["rest"] is None or got["rest"] <= tol:
+                return state.select(*keys, "label", F.col("total").alias("value"))
+            growing = growing + 1 if got["ratio"] >= 1.0 else 0
+            if not got["now"] < OVERFLOW or (growing and rounds >= GROWTH_ROUNDS and (
+                    damp is not None or not radius_below_one(links, link_keys))):
+                raise NotProductive(
+                    f"terms do not vanish (ratio {got['ratio']:.6f} after {rounds} rounds)")
+    finally:
+        chain.unpersist()
 
 
 def spread(links: DataFrame, vector: DataFrame, keys=(), *, how: str = "max",
-           max_rounds: int = 1000, hops: int = 3) -> DataFrame:
+           hops: int = 3) -> DataFrame:
     """Smallest or largest value reachable upstream, including a label's own value.
 
     ``links(src, dst)``; ``vector(keys..., label, value)`` has a row for every label. Stops when a
-    round changes nothing.
+    round changes nothing, which happens after as many rounds as the longest path has links.
     """
     keys = list(keys)
     if how not in ("max", "min"):
         raise ValueError(f"how must be 'max' or 'min', got {how!r}")
     state = cut_lineage(vector.select(*keys, "label", "value"))
     loops = state.select(F.col("label").alias("src"), F.col("label").alias("dst")).distinct()
-    rows = state.count()
-    with sized_jobs(vector.sparkSession, max(rows, links.count())):
-        chain = (
-            links.select("src", "dst").where("src <> dst").distinct()
-            .withColumn("own", F.lit(False))
-            .unionByName(loops.withColumn("own", F.lit(True))).repartition("src").persist()
-        )
-        done = 0
-        try:
-            while done < max_rounds:
-                steps = min(hops, max_rounds - done)
-                state = _rounds(chain, state, keys, [], steps,
-                                f"{how}(value) AS value, max(if(own, value, null)) AS before")
-                done += steps
-                state = cut_lineage(state)
-                if state.where(F.col("value") != F.col("before")).isEmpty():
-                    return state.select(*keys, "label", "value")
-            raise NotConverged(f"labels still change after {max_rounds} rounds")
-        finally:
-            chain.unpersist()
-
-
-def spectral_bounds(links: DataFrame, tol: float = 1e-10, max_rounds: int = 400,
-                    hops: int = 8) -> tuple[float, float]:
-    """Bounds of the spectral radius of the absolute link table (Collatz-Wielandt quotients).
-
-    Runs power steps until the quotients of consecutive vectors agree. The upper bound is rigorous
-    for a non-negative table; with negative entries it bounds the table of absolute values.
+    chain = (
+        links.select("src", "dst").where("src <> dst").distinct()
+        .withColumn("own", F.lit(False))
+        .unionByName(loops.withColumn("own", F.lit(True))).repartition("src").persist()
+    )
+    small = fits_broadcast(chain)
+    try:
+        while True:
+            state = cut_lineage(_rounds(
+                chain, state, keys, [], hops,
+                f"{how}(value) AS value, max(if(own, value, null)) AS before", small))
+            if state.where(F.col("value") != F.col("before")).isEmpty():
+                return state.select(*keys, "label", "value")
+    finally:
+        chain.unpersist()
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(label, system): the least label of each weakly connected part of ``links``."""
+    both = links.select("src", "dst").union(links.select(F.col("dst").alias("src"),
+                                                         F.col("src").alias("dst")))
+    nodes = both.select(F.col("src").alias("label"), F.col("src").alias("value")).distinct()
+    return spread(both, nodes, how="min").withColumnRenamed("value", "system")
+
+
+class Undecided(NotConverged):
+    """The bounds of a spectral radius enclose 1 and no longer move."""
+
+
+def spectral_bounds(links: DataFrame, tol: float = 1e-10, hops: int = 8,
+                    max_rounds: int = 4000, decide: float | None = None) -> DataFrame:
+    """Bounds (system, lo, hi) of the spectral radius of each connected part of |links|.
+
+    Collatz-Wielandt quotients of power steps with the table plus the identity, which makes
+    periodic parts settle: every quotient less 1 encloses the radius of its part. In a part that
+    falls into chained blocks the lower bound may stay low; the upper one always holds. Ends when
+    the quotients agree, when the upper bound no longer falls, or, with ``decide``, as soon as each
+    part lies on one side of that value.
     """
+    systems = cut_lineage(connected(links))
     link = links.select("src", "dst", F.abs("w").alias("w"))
-    nodes = link.select(F.explode(F.array("src", "dst")).alias("src")).distinct()
-    rows = nodes.count()
-    if rows == 0:
-        return 0.0, 0.0
-    with sized_jobs(links.sparkSession, links.count()):
-        chain = (
-            link.withColumn("own", F.lit(False))
-            .unionByName(nodes.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("w"),
-                                      F.lit(True).alias("own")))
-            .repartition("src").persist()
-        )
-        state = nodes.select(F.col("src").alias("label"), F.lit(1.0).alias("value"))
-        done = 0
-        try:
-            while done < max_rounds:
-                state = _rounds(chain, state, [], [], hops,
-                                "sum(w * value) AS value, max(if(own, value, null)) AS before")
-                done += hops
-                state = cut_lineage(state)
-                quotient = F.when(F.col("before") > 0, F.col("value") / F.col("before"))
-                got = state.agg(F.min(quotient).alias("lo"), F.max(quotient).alias("hi"),
-                                F.max("value").alias("top")).first()
-                if got["top"] is None or got["top"] <= 0.0:
-                    return 0.0, 0.0
-                if got["hi"] - got["lo"] <= tol * max(got["hi"], 1e-300):
-                    break
-                state = state.select("label", (F.col("value") / F.lit(got["top"])).alias("value"))
-            return got["lo"], got["hi"]
-        finally:
-            chain.unpersist()
+    chain = (
+        link.withColumn("own", F.lit(False))
+        .unionByName(systems.select(F.col("label").alias("src"), F.col("label").alias("dst"),
+                                    F.lit(1.0).alias("w"), F.lit(True).alias("own")))
+        .repartition("src").persist()
+    )
+    small = fits_broadcast(chain)
+    state = systems.select("system", "label", F.lit(1.0).alias("value"))
+    last, rounds = None, 0
+    try:
+        while True:
+            state = cut_lineage(_rounds(
+                chain, state, ["system"], [], hops,
+                "sum(w * value) AS value, max(if(own, value, null)) AS before", small))
+            rounds += hops
+            quotient = F.col("value") / F.col("before") - 1.0
+            bounds = cut_lineage(state.groupBy("system").agg(
+                F.greatest(F.min(quotient), F.lit(0.0)).alias("lo"),
+                F.greatest(F.max(quotient), F.lit(0.0)).alias("hi"), F.max("value").alias("top")))
+            got = bounds.agg(
+                F.max(F.col("hi") - F.col("lo")).alias("gap"), F.max("hi").alias("hi"),
+                F.count_if((F.col("lo") < decide) & (F.col("hi") >= decide)).alias("open")
+                if decide is not None else F.lit(1).alias("open")).first()
+            settled = last is not None and last - got["hi"] <= tol * max(got["hi"], 1e-300) \
+                if got["hi"] is not None else True
+            if got["gap"] is None or got["gap"] <= tol or not got["open"] or settled \
+                    or rounds >= max_rounds:
+                return bounds.select("system", "lo", "hi")
+            last = got["hi"]
+            state = state.join(bounds, "system").select(
+                "system", "label", (F.col("value") / F.col("top")).alias("value"))
+    finally:
+        chain.unpersist()
+
+
+def radius_below_one(links: DataFrame, link_keys=()) -> bool:
+    """Whether powers of the absolute table vanish; raises ``Undecided`` if no bound tells."""
+    if link_keys:  # separate systems are separate parts of one table
+        mark = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in link_keys])
+        links = links.select(*[F.concat_ws("\x1f", mark, F.col(c)).alias(c) for c in ("src", "dst")],
+                             "w")
+    got = spectral_bounds(links, decide=1.0).agg(
+        F.max("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    if got["hi"] is None or got["hi"] < 1.0:
+        return True
+    if got["lo"] >= 1.0:
+        return False
+    raise Undecided(f"the spectral radius lies between {got['lo']:.9f} and {got['hi']:.9f}")

@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 import os
 import tempfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -56,32 +54,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-ROWS_PER_TASK = 100_000
-
-
-@contextmanager
-def sized_jobs(spark: SparkSession, rows: int | float | None) -> Iterator[int]:
-    """Run eager steps over ``rows`` measured rows with a matching number of shuffle tasks.
-
-    A loop over a few thousand rows pays mostly for tasks and for adaptive re-planning, so below
-    the session's own parallelism both are turned down for the duration of the block. Larger
-    states leave the session's settings alone.
-    """
-    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = current if rows is None else max(1, math.ceil(rows / ROWS_PER_TASK))
-    if wanted >= current:
-        yield current
-        return
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        yield wanted
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", str(current))
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-
-
 def _sql_literal(value) -> str:
     if value is None:
         return "NULL"
