@@ -1,10 +1,10 @@
 """Format-preserving pseudonyms for personal data.
 
 Candidates are found by pattern and kept only if they hold as what they look like: cards by the
-Luhn sum, IBANs by the remainder of 97, addresses by their octets, phone and social security
-numbers by their ranges, dates by the calendar. A value is numbered within the set of all valid
-values of its format and moved by a keyed Feistel network over that set, walking on until the
-result lies in the set. So a pseudonym is valid again, has the same layout, and equal values get
+Luhn sum, IBANs by the remainder of 97, addresses by their octets, social security numbers by
+their ranges, phone numbers by their ranges or a country code with the area in brackets, dates by
+the calendar. A value is numbered within the set of all valid values of its format and moved by a
+keyed Feistel network over that set, walking on until the result lies in the set. So a pseudonym is valid again, has the same layout, and equal values get
 equal pseudonyms in every document. A date in several layouts is one value.
 
 Not changed: mail domains, country codes, the leading digit of a card, dates outside 1900 to 2099,
@@ -37,7 +37,7 @@ CANDIDATE = re.compile(
     r"""(?P<email>(?<![\w.+-])[A-Za-z0-9_][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
     |(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))
     |(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?:[ ][A-Z0-9]{4}){2,7}(?:[ ][A-Z0-9]{1,4})?)(?!\w))
-    |(?P<phone>(?<![\w(])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\)[ .-]?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?![\w-]))
+    |(?P<phone>(?<![\w(])(?:\+1[ .-]?\(\d{3}\)[ .-]?\d{3}|(?:\+?1[ .-]?)?(?:\([2-9]\d\d\)[ .-]?|[2-9]\d\d[ .-])[2-9]\d\d)[ .-]\d{4}(?![\w-]))
     |(?P<line>(?<![\w+])\+[2-9]\d(?:[ .-]?\d{2,4}){2,4}(?![\w-]))
     |(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<s4>[ -])\d{4}(?P=s4)\d{4}(?P=s4)\d{4}|\d{4}(?P<s6>[ -])\d{6}(?P=s6)\d{5})(?![\w-]))
     |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
@@ -115,12 +115,14 @@ class Pseudonyms:
         return fill(text, f"{moved[:2]}{98 - remainder(moved):02d}{moved[4:]}", r"[A-Z0-9]")
 
     def phone(self, text: str) -> str:
+        """Numbers with a possible area and office move among these, others among the others."""
         digits = re.sub(r"\D", "", text)
-        lead, area, office, line = digits[:-10], digits[-10:-7], digits[-7:-4], digits[-4:]
-        number = ((int(area) - 200) * 800 + int(office) - 200) * 10_000 + int(line)
-        moved = self.move(number, 800 * 800 * 10_000, "phone")
-        rest, line = divmod(moved, 10_000)
-        return fill(text, f"{lead}{rest // 800 + 200}{rest % 800 + 200}{line:04d}")
+        lead, number = digits[:-10], int(digits[-10:])
+        kind = possible(number)
+        while True:
+            number = self.move(number, 10 ** 10, "phone")
+            if possible(number) == kind:
+                return fill(text, lead + str(number).zfill(10))
 
     def line(self, text: str) -> str | None:
         digits = re.sub(r"\D", "", text)
@@ -171,6 +173,11 @@ class Pseudonyms:
         return ("".join(out) + text[done:], spans) if spans else (text, [])
 
 
+def possible(number: int) -> bool:
+    """Whether area and office of ten digits start with 2 to 9."""
+    return number >= 2 * 10 ** 9 and number // 10 ** 6 % 10 >= 2
+
+
 def luhn(digits: str) -> int:
     total = 0
     for i, c in enumerate(reversed(digits)):

@@ -84,8 +84,16 @@ def fit(rows: np.ndarray, columns: np.ndarray, size: int, width: int, before: np
     scale = np.minimum(spread, 30.0)
     w, b, e = np.zeros(width), constant, np.zeros(before.shape[1])
     mw, mb, me = w.copy(), b, e.copy()
-    norm = np.bincount(rows, scale[columns] ** 2, size).mean() + 1 + before.shape[1]
-    rate, momentum = 4 / norm * size / size, 1.0
+    # the steepest curvature, by power steps on the constant, the features and earlier categories
+    rng = np.random.default_rng(0)
+    v, steep = (rng.random(1), rng.random(width), rng.random(before.shape[1])), 1.0
+    for _ in range(20):
+        z = v[0] + np.bincount(rows, (v[1] * scale)[columns], size) + before @ v[2]
+        v = (np.array([z.mean()]), np.bincount(columns, z[rows], width) * scale / size,
+             before.T @ z / size)
+        steep = float(np.sqrt(sum((x * x).sum() for x in v)))
+        v = tuple(x / steep for x in v)
+    rate, momentum = 3 / steep, 1.0
     for _ in range(STEPS):
         z = mb + np.bincount(rows, (mw * scale)[columns], size) + before @ me
         error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - target) / size

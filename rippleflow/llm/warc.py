@@ -244,7 +244,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_B
             for row in batch.to_pylist():
                 if stream is None:
                     name = f"{context.partitionId()}-{context.taskAttemptId()}-{done}.warc.zst"
-                    stream = place.open_output_stream(f"{root}/{name}")
+                    stream = place.open_output_stream(f"{root}/{name}", compression=None)
                     head = dictionary_frame(dictionary) if dictionary else b""
                     stream.write(head)
                     size, records = len(head), 0
