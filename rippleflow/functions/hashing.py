@@ -30,6 +30,11 @@ def table_fingerprint(df: DataFrame, labels, values, decimals: int = 10, keys=()
 
 
 def map_hash(df: DataFrame, parts, keys=(), length: int = 12) -> DataFrame:
-    """Hash of a *small* mapping table per ``keys``: its rows as sorted text (axis-sized input)."""
-    text = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", *parts))), ";")
+    """Hash of a mapping table per ``keys``: of its number of rows and the sum of their hashes.
+
+    Addition does not depend on row order and combines before the shuffle, at any size.
+    """
+    piece = F.conv(F.substring(F.sha2(F.concat_ws("=", *parts), 256), 1, 15), 16, 10)
+    text = F.concat_ws("|", F.count("*").cast("string"),
+                       F.sum(piece.cast("decimal(20,0)")).cast("decimal(38,0)").cast("string"))
     return df.groupBy(*keys).agg(content_hash(text, length).alias("content_hash"))

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def checked(value, bad, message):
+    """``value``, or an error with ``message`` where ``bad`` holds; costs no pass of its own."""
+    return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(message)).otherwise(value)
+
+
 def label(region: str | Column = "region", sector: str | Column = "sector") -> Column:
     """The display label ``region:sector``."""
     return F.concat_ws(":", region, sector)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleflow.functions.labels import base_code, numeric_key, prefixes
+from rippleflow.functions.labels import base_code, checked, label, numeric_key, prefixes
 from rippleflow.operators.harmonise import (
     coefficients_to_flows, flows_to_coefficients,
 )
@@ -52,13 +52,21 @@ def bridge(concordance: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def combined_bridge(goods: DataFrame, sector_map: DataFrame, region_map: DataFrame) -> DataFrame:
-    """Weights from each (region, sector) to coarse (t_region, t_sector): product of the two maps."""
+    """Weights from each (region, sector) to coarse (t_region, t_sector): product of the two maps.
+
+    A label that a map leaves out is an error (``orphans`` lists them); leaving it out of the sums
+    would lose its output.
+    """
     s = sector_map.select(F.col("source").alias("sector"), F.col("target").alias("t_sector"),
                           F.col("weight").alias("ws"))
     r = region_map.select(F.col("source").alias("region"), F.col("target").alias("t_region"),
                           F.col("weight").alias("wr"))
-    return goods.select("region", "sector").join(s, "sector").join(r, "region").select(
-        "region", "sector", "t_region", "t_sector", (F.col("wr") * F.col("ws")).alias("weight"))
+    unmapped = F.col("ws").isNull() | F.col("wr").isNull()
+    return goods.select("region", "sector").join(s, "sector", "left").join(
+        r, "region", "left").select(
+        "region", "sector", "t_region", "t_sector", checked(
+            F.col("wr") * F.col("ws"), unmapped,
+            F.concat(F.lit("label without a map: "), label())).alias("weight"))
 
 
 # -- aggregation of a build ----------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleflow.functions.labels import demand_institution
+from rippleflow.functions.labels import checked, demand_institution
 from rippleflow.plans.joins import union_all
 from rippleflow.schema import INSTITUTIONS
 from rippleflow.session import literal_table
@@ -33,9 +33,9 @@ def axis(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def flows_to_coefficients(flows: DataFrame, output: DataFrame) -> DataFrame:
-    """a = z / x of the buying label, 0 where the output is not positive."""
+    """a = z / x of the buying label, 0 where it has no positive output or no output row."""
     x = output.select(F.col("region").alias("j_region"), F.col("sector").alias("j_sector"), "x")
-    return flows.join(x, ["j_region", "j_sector"]).select(
+    return flows.join(x, ["j_region", "j_sector"], "left").select(
         "i_region", "i_sector", "j_region", "j_sector",
         F.when(F.col("x") > 0, F.col("z") / F.col("x")).otherwise(0.0).alias("a"))
 
@@ -60,10 +60,12 @@ def unaligned_producers(labels: DataFrame, demand: DataFrame) -> DataFrame:
 def demand_by_institution(demand_cells: DataFrame, labels: DataFrame) -> DataFrame:
     """Final demand per consuming region and institution, every combination present.
 
-    Exports are trade and drop out. Unknown categories must be rejected before
-    (``unknown_categories``).
+    Exports are trade and drop out. An unknown category is an error (``unknown_categories`` lists
+    them).
     """
-    known = demand_cells.withColumn("institution", demand_institution("category")).where(
+    kind = demand_institution("category")
+    known = demand_cells.withColumn("institution", checked(kind, kind.isNull(), F.concat(
+        F.lit("unknown demand category: "), F.coalesce("category", F.lit("(none)"))))).where(
         F.col("institution").isin(*INSTITUTIONS))
     regions = labels.select(F.col("region").alias("d_region")).distinct()
     frame = labels.select("region", "sector").join(regions).select(
@@ -106,14 +108,19 @@ def unknown_units(emissions: DataFrame) -> DataFrame:
         "stressor", "unit").distinct()
 
 
+def tonnes_per_unit(unit):
+    """The factor of a mass unit; another unit is an error (``unknown_units`` lists them)."""
+    factors = F.create_map(*[F.lit(v) for kv in TONNES_PER_UNIT.items()
+                             for v in (kv[0], float(kv[1]))])
+    factor = factors[F.trim(unit)]
+    return checked(factor, factor.isNull(), F.concat(
+        F.lit("unknown unit: "), F.coalesce(F.col(unit), F.lit("(none)"))))
+
+
 def to_tonnes(emissions: DataFrame) -> DataFrame:
     """Tonnes per gas and label."""
-    units = lookup_table(emissions.sparkSession, TONNES_PER_UNIT, "unit", "factor")
-    return (
-        emissions.withColumn("unit", F.trim("unit")).join(F.broadcast(units), "unit")
-        .groupBy("gas", "region", "sector")
-        .agg(F.sum(F.col("amount") * F.col("factor")).alias("tonnes"))
-    )
+    return emissions.groupBy("gas", "region", "sector").agg(
+        F.sum(F.col("amount") * tonnes_per_unit("unit")).alias("tonnes"))
 
 
 def ghg_account(stressors: DataFrame, output: DataFrame, unit: str,
@@ -124,15 +131,13 @@ def ghg_account(stressors: DataFrame, output: DataFrame, unit: str,
     aggregation. Labels without positive output get 0.
     """
     rows = emission_rows(stressors, aliases)
-    units = lookup_table(stressors.sparkSession, TONNES_PER_UNIT, "unit", "factor")
     gwp = F.create_map(*[F.lit(v) for kv in GWP100.items() for v in kv])
-    tonnes = F.col("amount") * F.col("factor")
+    tonnes = F.col("amount") * tonnes_per_unit("unit")
     both = F.explode(F.array(
         F.struct(F.col("gas").alias("stressor"), tonnes.alias("tonnes")),
         F.struct(F.lit(CO2E).alias("stressor"), (tonnes * gwp[F.col("gas")]).alias("tonnes"))))
     totals = (
-        rows.withColumn("unit", F.trim("unit")).join(F.broadcast(units), "unit")
-        .select("region", "sector", both.alias("g")).select("region", "sector", "g.*")
+        rows.select("region", "sector", both.alias("g")).select("region", "sector", "g.*")
         .groupBy("stressor", "region", "sector").agg(F.sum("tonnes").alias("tonnes"))
     )
     return totals.join(output, ["region", "sector"]).select(

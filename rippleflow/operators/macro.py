@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rippleflow.functions.labels import checked, label
 from rippleflow.operators.leontief import as_results
 from rippleflow.plans.joins import union_all
 from rippleflow.schema import ECONOMY
@@ -30,9 +31,13 @@ def raw_value_added(coeff: DataFrame, output: DataFrame) -> DataFrame:
 
 
 def value_added(coeff: DataFrame, output: DataFrame) -> DataFrame:
-    """Base-year value added per good; rounding-sized negatives become 0."""
-    return raw_value_added(coeff, output).select(
-        "region", "sector", F.greatest("va", F.lit(0.0)).alias("va"))
+    """Base-year value added per good; rounding-sized negatives become 0, larger ones are an error
+    (``negative_value_added`` lists them)."""
+    raw = raw_value_added(coeff, output)
+    scale = raw.agg(F.greatest(F.sum(F.abs("va")), F.lit(1.0)).alias("scale"))
+    return raw.join(scale).select("region", "sector", checked(
+        F.greatest("va", F.lit(0.0)), F.col("va") < -NEGATIVE_TOLERANCE * F.col("scale"),
+        F.concat(F.lit("negative value added: "), label())).alias("va"))
 
 
 def negative_value_added(coeff: DataFrame, output: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleflow.functions.labels import label, split_label
+from rippleflow.functions.labels import checked, label, split_label
 from rippleflow.functions.paths import state_at
 from rippleflow.operators.leontief import covered_goods, price_links, shock_levels
 from rippleflow.plans.fixpoint import iterate, spread
@@ -66,10 +66,15 @@ def sector_scores(ratings: DataFrame, concordance: DataFrame) -> DataFrame:
     """Weighted score and weighted no-data share per (sector, service).
 
     ``concordance`` maps a sector (source) to processes (target). Only rated cells are touched:
-    an absent cell adds 0 to either sum, so sectors without any rated service are absent.
+    an absent cell adds 0 to either sum, so sectors without any rated service are absent. A process
+    without ratings is an error (``unknown_processes`` lists them).
     """
+    rated = ratings.select("process").distinct().withColumn("rated", F.lit(True))
     w = concordance.select(F.col("source").alias("sector"), F.col("target").alias("process"),
                            "weight")
+    w = w.join(rated, "process", "left").withColumn("weight", checked(
+        F.col("weight"), F.col("rated").isNull(),
+        F.concat(F.lit("process without ratings: "), F.col("process")))).drop("rated")
     total = w.groupBy("sector").agg(F.sum("weight").alias("total")).where("total > 0")
     hit = w.join(ratings, "process").groupBy("sector", "service").agg(
         F.sum(F.col("weight") * F.coalesce(

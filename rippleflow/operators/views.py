@@ -14,6 +14,7 @@ PART_ORDER = ["direct", "upstream_tier_1", "upstream_tier_2", "upstream_tier_3",
 # Macro variables shown per region, in column order.
 MACRO_VARIABLES = ["gdp_change", "deflator", "gdp_change_real", "gdp_change_nominal",
                    "gdp_deflator_change", "real_consumption_change"]
+#: How many cells an interactive table shows.
 CELL_LIMIT = 200_000
 
 
@@ -167,19 +168,23 @@ def top_k(results: DataFrame, variable: str, k: int) -> DataFrame:
 
 
 def frame_slice(cells: DataFrame, row_query: str = "", col_query: str = "",
-                cell_limit: int = CELL_LIMIT) -> DataFrame:
-    """Cells (row, col, value) whose labels contain the queries; whole columns up to the limit.
+                cell_limit: int | None = None) -> DataFrame:
+    """Cells (row, col, value) whose labels contain the queries.
 
-    Columns count in label order and are ranked on the distinct column labels, never on the cells.
+    With ``cell_limit`` (``CELL_LIMIT`` for a display) whole columns up to that many cells, in label
+    order; every row then says how many columns are left out (``columns_left_out``).
     """
     hit = cells.where(F.lower("row").contains(row_query.lower())
                       & F.lower("col").contains(col_query.lower()))
+    if cell_limit is None:
+        return hit
     n_rows = hit.select("row").distinct().agg(F.count("*").alias("n_rows"))
     cols = hit.select("col").distinct().withColumn(
         "pos", F.row_number().over(Window.orderBy("col"))).join(n_rows)
-    kept = cols.where(F.col("pos") <= F.greatest(
-        F.lit(1), F.floor(F.lit(cell_limit) / F.greatest("n_rows", F.lit(1))))).select("col")
-    return hit.join(kept, "col", "left_semi")
+    room = F.greatest(F.lit(1), F.floor(F.lit(cell_limit) / F.greatest("n_rows", F.lit(1))))
+    kept = cols.where(F.col("pos") <= room).select("col")
+    left_out = cols.agg(F.count_if(F.col("pos") > room).alias("columns_left_out"))
+    return hit.join(kept, "col", "left_semi").join(F.broadcast(left_out))
 
 
 def frame_labels(coeff: DataFrame) -> DataFrame:

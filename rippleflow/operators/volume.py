@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rippleflow.functions.labels import checked, label
 from rippleflow.operators.harmonise import total_by_label
 from rippleflow.operators.leontief import as_results, covered_goods, gross_output, shock_levels
 from rippleflow.plans.fixpoint import Propagator
@@ -51,8 +52,12 @@ def elasticity_by_sector(sectors: DataFrame, elasticities: DataFrame) -> DataFra
 
 
 def demand_response(price_ratio, elasticity):
-    """Relative demand change of a price ratio 1 + dp at constant elasticity."""
-    return F.pow(price_ratio, elasticity) - 1.0
+    """Relative demand change of a price ratio 1 + dp at constant elasticity.
+
+    A ratio that is not positive is an error (``non_positive_prices`` lists the goods).
+    """
+    return checked(F.pow(price_ratio, elasticity) - 1.0, price_ratio <= 0.0, F.concat(
+        F.lit("price ratio is not positive: "), price_ratio.cast("string")))
 
 
 def non_positive_prices(prices: DataFrame) -> DataFrame:
@@ -78,7 +83,11 @@ def volume_run(quantity: Propagator, prices: DataFrame, final_demand: DataFrame,
     scenarios together.
     """
     keys = ["scenario_id", "year"]
-    demand = total_by_label(final_demand).withColumnRenamed("value", "y")
+    demand = total_by_label(final_demand).select("region", "sector", checked(
+        F.col("value"), F.col("value") < 0, F.concat(F.lit("negative final demand: "), label()))
+        .alias("y"))
+    output = output.withColumn("x", checked(
+        F.col("x"), F.col("x") <= 0, F.concat(F.lit("no positive output: "), label())))
     band = F.explode(F.array(*[
         F.struct(F.lit(b).alias("band"), F.col(b).alias("elasticity")) for b in BANDS])).alias("b")
     multiplier = cut_lineage(multiplier)

@@ -9,11 +9,12 @@ Two strategies, chosen by a measured cost:
 
 * ``Propagator`` squares the link table, so log2(rounds) jobs give the full sum of powers, which
   every later right-hand side reuses with a single join. Squaring fills the table in, so it is used
-  only while the cube of the number of labels stays under a budget.
+  at once only while the cube of the number of labels stays under a budget, and up to a larger one
+  for tables whose terms are seen to fall so slowly that walking would take hundreds of rounds.
 * ``iterate`` keeps the link table as it is and moves only the vector. This is the way for tables
   with many thousands of labels.
 
-The budget decides the plan alone. Both go on until what is missing from every value is below the
+The budgets decide the plan alone. Both go on until what is missing from every value is below the
 tolerance, however many rounds that takes, and both raise ``NotProductive`` for the same tables.
 
 The vector trick of ``iterate``: the link table carries one extra row per label pointing at itself.
@@ -34,7 +35,13 @@ from pyspark.sql import functions as F
 from rippleflow.plans.joins import BROADCAST_ROWS, fits_broadcast
 from rippleflow.session import cut_lineage
 
-SQUARING_BUDGET = 100_000_000
+SQUARING_BUDGET = 1_000_000
+#: Cube of the labels up to which a slowly converging table is squared after all.
+SLOW_BUDGET = 1_000_000_000
+#: Rounds still to come from which a table counts as slow.
+PATIENCE = 256
+#: What power steps add to the diagonal so that periodic tables settle.
+SHIFT = 0.25
 #: 2 ** 50 rounds: no table with a radius below 1 in double precision needs more.
 MAX_LEVELS = 50
 TOLERANCE = 1e-13
@@ -182,8 +189,12 @@ class Propagator:
         Labels without links keep their own value.
         """
         keys = list(keys)
-        if not self.is_small:
-            return iterate(self.links, vector, keys, link_keys=self.keys)
+        if not self.is_small and self._total is None:
+            slow = self.stats["cubes"] <= SLOW_BUDGET and self.squaring_budget > 0
+            walked = iterate(self.links, vector, keys, link_keys=self.keys,
+                             patience=PATIENCE if slow else None)
+            if walked is not None:
+                return walked
         on = [*self.keys, "label"]
         total = self._square().withColumnRenamed("src", "label")
         reached = (
@@ -217,8 +228,10 @@ def iterate(
     damp: str | None = None,
     tol: float = 1e-12,
     hops: int = 8,
-) -> DataFrame:
-    """Sum of powers applied to ``vector`` by moving the vector only.
+    patience: int | None = None,
+) -> DataFrame | None:
+    """Sum of powers applied to ``vector`` by moving the vector only; None if ``patience`` is given
+    and the measured ratio says that more rounds than that are to come.
 
     ``damp`` names a column of ``vector`` that scales what a label receives in every round (0 pins
     the label to its own value). Every ``hops`` rounds the state is written to the checkpoint
@@ -285,6 +298,10 @@ def iterate(
                      F.max("now").alias("now"))).first()
             if got["rest"] is None or got["rest"] <= tol:
                 return state.select(*keys, "label", F.col("total").alias("value"))
+            if patience is not None and rounds >= GROWTH_ROUNDS // 2 and (
+                    got["ratio"] >= 1.0 or math.log(tol / got["rest"]) < patience * math.log(
+                        max(got["ratio"], 1e-300))):
+                return None
             growing = growing + 1 if got["ratio"] >= 1.0 else 0
             if not got["now"] < OVERFLOW or (growing and rounds >= GROWTH_ROUNDS and (
                     damp is not None or not radius_below_one(links, link_keys))):
@@ -336,21 +353,22 @@ class Undecided(NotConverged):
 
 
 def spectral_bounds(links: DataFrame, tol: float = 1e-10, hops: int = 8,
-                    max_rounds: int = 4000, decide: float | None = None) -> DataFrame:
+                    settle_rounds: int = 200, max_rounds: int = 4000,
+                    decide: float = 1.0) -> DataFrame:
     """Bounds (system, lo, hi) of the spectral radius of each connected part of |links|.
 
-    Collatz-Wielandt quotients of power steps with the table plus the identity, which makes
-    periodic parts settle: every quotient less 1 encloses the radius of its part. In a part that
-    falls into chained blocks the lower bound may stay low; the upper one always holds. Ends when
-    the quotients agree, when the upper bound no longer falls, or, with ``decide``, as soon as each
-    part lies on one side of that value.
+    Collatz-Wielandt quotients of power steps with the table plus a multiple of the identity, which
+    makes periodic parts settle: the quotients less that shift enclose the radius of their part. In a part that
+    falls into chained blocks the lower bound may stay low; the upper one always holds, but may
+    fall slowly. Ends when the quotients agree or the upper bound no longer falls, after
+    ``settle_rounds`` if each part lies on one side of ``decide``, and after ``max_rounds`` at last.
     """
     systems = cut_lineage(connected(links))
     link = links.select("src", "dst", F.abs("w").alias("w"))
     chain = (
         link.withColumn("own", F.lit(False))
         .unionByName(systems.select(F.col("label").alias("src"), F.col("label").alias("dst"),
-                                    F.lit(1.0).alias("w"), F.lit(True).alias("own")))
+                                    F.lit(SHIFT).alias("w"), F.lit(True).alias("own")))
         .repartition("src").persist()
     )
     small = fits_broadcast(chain)
@@ -362,22 +380,23 @@ def spectral_bounds(links: DataFrame, tol: float = 1e-10, hops: int = 8,
                 chain, state, ["system"], [], hops,
                 "sum(w * value) AS value, max(if(own, value, null)) AS before", small))
             rounds += hops
-            quotient = F.col("value") / F.col("before") - 1.0
-            bounds = cut_lineage(state.groupBy("system").agg(
+            quotient = F.col("value") / F.col("before") - SHIFT
+            bounds = state.groupBy("system").agg(
                 F.greatest(F.min(quotient), F.lit(0.0)).alias("lo"),
-                F.greatest(F.max(quotient), F.lit(0.0)).alias("hi"), F.max("value").alias("top")))
+                F.greatest(F.max(quotient), F.lit(0.0)).alias("hi"), F.max("value").alias("top"))
             got = bounds.agg(
+                F.max("top").alias("top"), F.min("top").alias("low_top"),
                 F.max(F.col("hi") - F.col("lo")).alias("gap"), F.max("hi").alias("hi"),
-                F.count_if((F.col("lo") < decide) & (F.col("hi") >= decide)).alias("open")
-                if decide is not None else F.lit(1).alias("open")).first()
+                F.count_if((F.col("lo") < decide) & (F.col("hi") >= decide)).alias("open")).first()
             settled = last is not None and last - got["hi"] <= tol * max(got["hi"], 1e-300) \
                 if got["hi"] is not None else True
-            if got["gap"] is None or got["gap"] <= tol or not got["open"] or settled \
-                    or rounds >= max_rounds:
+            if got["gap"] is None or got["gap"] <= tol or settled or rounds >= max_rounds \
+                    or rounds >= settle_rounds and not got["open"]:
                 return bounds.select("system", "lo", "hi")
             last = got["hi"]
-            state = state.join(bounds, "system").select(
-                "system", "label", (F.col("value") / F.col("top")).alias("value"))
+            if got["top"] > 1e60 or got["low_top"] < 1e-60:
+                state = state.join(bounds, "system").select(
+                    "system", "label", (F.col("value") / F.col("top")).alias("value"))
     finally:
         chain.unpersist()
 
@@ -388,7 +407,7 @@ def radius_below_one(links: DataFrame, link_keys=()) -> bool:
         mark = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in link_keys])
         links = links.select(*[F.concat_ws("\x1f", mark, F.col(c)).alias(c) for c in ("src", "dst")],
                              "w")
-    got = spectral_bounds(links, decide=1.0).agg(
+    got = spectral_bounds(links, settle_rounds=0).agg(
         F.max("lo").alias("lo"), F.max("hi").alias("hi")).first()
     if got["hi"] is None or got["hi"] < 1.0:
         return True

@@ -8,51 +8,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
-HOT_KEY_ROWS = 5_000_000
-SALTS = 64
+BROADCAST_BYTES = 64 << 20
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+def broadcast_rows(df: DataFrame) -> int:
+    """How many rows of this schema fit the byte bound of a broadcast, by the types' usual sizes."""
+    width = sum(_width(f.dataType.simpleString()) for f in df.schema.fields)
+    return min(BROADCAST_ROWS, BROADCAST_BYTES // (16 + width))
+
+
+def _width(kind: str) -> int:
+    if "<" in kind:
+        return 256
+    return {"string": 40, "binary": 256, "boolean": 1, "int": 4, "float": 4}.get(kind, 8)
+
+
+def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
     """True when ``df`` has at most ``rows`` rows; reads no more than ``rows + 1`` of them."""
+    rows = broadcast_rows(df) if rows is None else rows
     return df.limit(rows + 1).count() <= rows
 
 
-def lookup_join(
-    fact: DataFrame,
-    dim: DataFrame,
-    key: str,
-    *,
-    broadcast_rows: int = BROADCAST_ROWS,
-    hot_key_rows: int = HOT_KEY_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
+def lookup_join(fact: DataFrame, dim: DataFrame, key: str, *, rows: int | None = None,
+                salts: int | None = None) -> DataFrame:
     """Inner join of ``fact`` with a table that has one row per ``key``.
 
-    A lookup side within ``broadcast_rows`` is broadcast. A larger one is joined by shuffle, and
-    keys with more than ``hot_key_rows`` fact rows (at most rows / hot_key_rows of them, so their
-    list is small) are salted: their fact rows spread over ``salts`` buckets by a hash of the row,
-    and their single lookup row is copied once per bucket. All other rows keep bucket 0.
+    A lookup side that is measured to fit is broadcast. A larger one is joined by shuffle, where
+    adaptive execution splits hot keys. With ``salts`` the split is part of the plan: fact rows
+    spread over that many salts by a hash of the row and every lookup row is copied once per salt,
+    which is for callers that know of hot keys. The fact side is never scanned to look for them.
     """
-    if fits_broadcast(dim, broadcast_rows):
+    if fits_broadcast(dim, rows):
         return fact.join(F.broadcast(dim), key)
-    hot = (
-        fact.groupBy(key).count().where(F.col("count") > hot_key_rows)
-        .select(key, F.lit(True).alias("__hot")).persist()
-    )
-    if hot.isEmpty():
-        hot.unpersist()
+    if salts is None:
         return fact.join(dim, key)
     rest = [c for c in fact.columns if c != key]
-    bucket = F.pmod(F.xxhash64(*rest), F.lit(salts)) if rest else F.lit(0)
-    salted_fact = fact.join(F.broadcast(hot), key, "left").withColumn(
-        "__salt", F.when(F.col("__hot"), bucket).otherwise(F.lit(0)).cast("int")
-    ).drop("__hot")
-    salted_dim = dim.join(F.broadcast(hot), key, "left").withColumn(
-        "__salt",
-        F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                  .otherwise(F.array(F.lit(0)))),
-    ).drop("__hot")
-    return salted_fact.join(salted_dim, [key, "__salt"]).drop("__salt")
+    salt = F.pmod(F.xxhash64(*rest), F.lit(salts)) if rest else F.lit(0)
+    copies = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return fact.withColumn("__salt", salt.cast("int")).join(copies, [key, "__salt"]).drop("__salt")
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rippleflow.functions.labels import checked
 from rippleflow.operators import checks, concord, leontief, macro, nature, volume
 from rippleflow.operators.quality import quality_report
 from rippleflow.plans.fixpoint import Propagator
 from rippleflow.plans.joins import union_all
-from rippleflow.schema import SHOCK
+from rippleflow.schema import BANDS, RESULT_COLUMNS, SHOCK
 
 SHOCK_COLUMNS = [f.name for f in SHOCK.fields]
 SUPPORTED = {
@@ -54,6 +55,10 @@ def exposure(build: Build, incidence: str = "total", rule: str = "weighted_mean"
     """Exposure per good and service; direct incidence skips the propagation altogether."""
     scores = nature.sector_scores(build.ratings, build.concordance)
     direct = nature.goods_scores(scores, build.goods)
+    checks.require_empty(union_all([
+        checks.broken(nature.unrated_sectors(build.goods, build.concordance), "sector_unrated",
+                      F.col("sector")),
+        *([nature.exposure_violations(build.coeff, direct)] if incidence == "total" else [])]))
     if incidence == "direct":
         if rule != "weighted_mean" or threshold != 0.0:
             raise ValueError("rule and threshold have no effect under direct incidence")
@@ -71,6 +76,7 @@ def translate_nature(build: Build, shocks: DataFrame, years: DataFrame, incidenc
                      rule: str = "weighted_mean", threshold: float = 0.0) -> DataFrame:
     """Replace nature stresses by the productivity shocks they cause."""
     exposed = exposure(build, incidence, rule, threshold)
+    checks.require_empty(checks.stress_rules(shocks, exposed))
     delta = nature.stress_productivity(shocks, years, exposed)
     derived = nature.productivity_shocks(delta)
     return union_all([
@@ -96,7 +102,9 @@ def run(build: Build, shocks: DataFrame, years: DataFrame, model: str = "volume"
         checks.require_empty(union_all([
             checks.support_rules(shocks, supported), checks.shock_rules(shocks),
             checks.coverage_rules(shocks, build.goods),
-            checks.gas_rules(shocks, build.satellite, build.goods)]))
+            checks.gas_rules(shocks, build.satellite, build.goods),
+            checks.year_rules(years.groupBy("scenario_id").agg(
+                F.collect_list("year").alias("years")))]))
     if has_nature:
         shocks = translate_nature(
             build, shocks, years,
@@ -116,6 +124,10 @@ def run(build: Build, shocks: DataFrame, years: DataFrame, model: str = "volume"
             volume.productivity_multiplier(shocks, years, build.goods))
     if with_macro:
         out = macro.append_macro(out, macro.value_added(build.coeff, build.output))
+    if validate:
+        out = out.withColumn("value", checked(
+            F.col("value"), checks.not_finite("value") | ~F.col("scenario").isin(*BANDS),
+            F.concat_ws(":", F.lit("result value or band"), *RESULT_COLUMNS)))
     return out
 
 

@@ -4,25 +4,25 @@ Producer label = (supplier place, part type); consumer label = (customer place,
 order's first line). Returned lines are intermediate flows, all other lines are final demand, so
 gross output equals intermediate plus final sales exactly. Money is in millions (MEUR).
 
-The line table is scanned once: ``cells`` aggregates it to the label cube, whose size is bounded
-by the number of places, types and segments whatever the number of lines. Everything else derives
-from that cube.
+The line table is scanned once and shuffled once, by order: a window finds the first line of each
+order where the lines already lie, and the join with the orders uses the same partitioning and
+order of rows. ``cells`` aggregates the lines to the label cube, whose size is bounded by the number
+of places, types and segments whatever the number of lines. Everything else derives from that cube.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rippleflow.plans.fixpoint import Propagator
 from rippleflow.plans.joins import lookup_join
 from rippleflow.session import cut_lineage
 
 MILLION = 1e6
-PART_SPAN = Decimal(10) ** 19
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,31 +50,22 @@ def line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("c_custkey", F.col("c_mktsegment").alias("segment"),
                 F.col("n_name").alias("d_nation"))
     )
-    # The first line of an order is its smallest (line number, part). Both pack into one decimal,
-    # which hash aggregation can update in place; a struct would force a sort of all lines.
-    packed = (F.col("l_linenumber").cast("decimal(18,0)") * F.lit(PART_SPAN)
-              + F.col("l_partkey").cast("decimal(19,0)"))
-    first_line = line.groupBy("l_orderkey").agg(F.min(packed).alias("first")).select(
-        "l_orderkey", F.expr(f"CAST(first % {PART_SPAN} AS BIGINT)").alias("p_partkey"))
-    order = (
-        lookup_join(
-            read(spark, sf_dir, "orders").select(
-                F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")
-            ),
-            buyer, "c_custkey",
-        )
-        .join(first_line, "l_orderkey")
-    )
-    order = lookup_join(order, part, "p_partkey").select(
-        "l_orderkey", "segment", "d_nation", F.col("p_type").alias("d_sector")
-    )
-    # Lookups come first: they move no line while their side is small, so the lines are shuffled
-    # once, by order, on their way to the label cube.
-    wide = lookup_join(line.withColumnRenamed("l_partkey", "p_partkey"), part, "p_partkey")
+    order = lookup_join(
+        read(spark, sf_dir, "orders").select(
+            F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")),
+        buyer, "c_custkey").select("l_orderkey", "segment", "d_nation")
+    # The first line of an order is its smallest (line number, part).
+    first_line = F.min(F.struct("l_linenumber", "l_partkey")).over(Window.partitionBy("l_orderkey"))
+    wide = line.withColumn("first", first_line).withColumn(
+        "d_partkey", F.col("first.l_partkey")).drop("first").join(order, "l_orderkey")
+    # Part and supplier are looked up on either side's key; while they are small no line moves.
+    wide = lookup_join(wide.withColumnRenamed("l_partkey", "p_partkey"),
+                       part.withColumnRenamed("p_type", "o_sector"), "p_partkey")
+    wide = lookup_join(wide, part.select(F.col("p_partkey").alias("d_partkey"),
+                                         F.col("p_type").alias("d_sector")), "d_partkey")
     wide = lookup_join(wide.withColumnRenamed("l_suppkey", "s_suppkey"), supplier, "s_suppkey")
-    wide = wide.join(order, "l_orderkey")
     return wide.groupBy(
-        "o_nation", F.col("p_type").alias("o_sector"), "d_nation", "d_sector", "segment",
+        "o_nation", "o_sector", "d_nation", "d_sector", "segment",
         F.col("l_returnflag").alias("returnflag"), F.col("l_linestatus").alias("linestatus"),
     ).agg(
         F.sum("l_extendedprice").alias("value"),

@@ -116,6 +116,14 @@ def topk(spark, d):
 
 
 def frame_slice(spark, d):
+    e = economy(spark, d)
+    cells = e.coeff.select(label("i_region", "i_sector").alias("row"),
+                           label("j_region", "j_sector").alias("col"), F.col("a").alias("value"))
+    return rounded(views.frame_slice(cells, "asia", "e"), "value")
+
+
+def frame_slice_shown(spark, d):
+    """What a display with room for 50 cells shows, and how many columns it leaves out."""
     e = economy(spark, d)
     cells = e.coeff.select(label("i_region", "i_sector").alias("row"),
                            label("j_region", "j_sector").alias("col"), F.col("a").alias("value"))
@@ -133,8 +141,11 @@ def volume_series(spark, d):
 QUERIES = {f.__name__: f for f in (
     run_results, headline, variables, presence, waterfall, decomposed_goods, summary_stats,
     volume_envelope, gdp_table, gva_table, trade_table, factor_and_rate_tables, welfare_table,
-    macro_headline, topk, frame_slice, frame_labels, volume_series)}
+    macro_headline, topk, frame_slice, frame_slice_shown, frame_labels, volume_series)}
 
+_SLICE = with_sql(economy_sql()) + """,
+c AS (SELECT i_region || ':' || i_sector AS row, j_region || ':' || j_sector AS col, a AS value FROM coeff),
+h AS (SELECT * FROM c WHERE contains(lower(row), 'asia') AND contains(lower(col), 'e'))"""
 _RES = q_flows._VOL_BASE + "," + q_flows._MACRO + """,
 res AS MATERIALIZED (SELECT scenario_id, 'final_demand_change' AS variable, sector, region, year, band AS scenario, dy AS value FROM resp
  UNION ALL SELECT scenario_id, 'volume_change', sector, region, year, band, value FROM vol
@@ -189,10 +200,10 @@ ORACLES = {
     "macro_headline": _q(f"""SELECT scenario_id, region, year, {r6('n')} AS nominal, {r6('r')} AS real, {r6('d')} AS deflator, 'volume' AS form FROM {_G3}
  UNION ALL SELECT scenario_id, region, year, {r6('n')}, CAST(NULL AS DOUBLE), {r6('d')}, 'equilibrium' FROM {_G3}"""),
     "topk": _q(f"""SELECT scenario_id, region, sector, year, {r6('value')} AS value FROM (SELECT * FROM vol ORDER BY value DESC, scenario_id, region, sector, year LIMIT 12)"""),
-    "frame_slice": with_sql(economy_sql()) + f""",
-c AS (SELECT i_region || ':' || i_sector AS row, j_region || ':' || j_sector AS col, a AS value FROM coeff),
-h AS (SELECT * FROM c WHERE contains(lower(row), 'asia') AND contains(lower(col), 'e'))
-SELECT row, col, {r6('value')} AS value FROM h QUALIFY dense_rank() OVER (ORDER BY col) <= greatest(1, floor(50 / (SELECT count(DISTINCT row) FROM h)))""",
+    "frame_slice": _SLICE + f" SELECT row, col, {r6('value')} AS value FROM h",
+    "frame_slice_shown": _SLICE + f""", k AS (SELECT greatest(1, floor(50 / count(DISTINCT row))) AS room, count(DISTINCT col) AS cols FROM h)
+SELECT row, col, {r6('value')} AS value, (SELECT CAST(greatest(cols - room, 0) AS BIGINT) FROM k) AS columns_left_out
+FROM h QUALIFY dense_rank() OVER (ORDER BY col) <= (SELECT room FROM k)""",
     "frame_labels": with_sql(economy_sql()) + " SELECT region || ':' || sector AS label, region, sector FROM x",
     "volume_series": _q(f"""SELECT scenario_id, region || ':' || sector AS good, year, scenario, {r6('value')} AS value FROM ce WHERE variable = 'volume_change'"""),
 }
