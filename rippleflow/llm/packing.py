@@ -23,6 +23,7 @@ texts are read whole, in slices that end where a token must end.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -41,14 +42,22 @@ END = 2
 GROUPS = 48
 #: Lengths above this share of a sequence are large.
 LARGE = 1 / 8
-CACHED_WORDS = 900_000
+CACHED_WORDS = 500_000
+COMPARED_WORDS = 5_000
+# Fixed value: how byte-level tokenizers of this kind part a text before merging.
+WORD_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 
 # ---- tokens ---------------------------------------------------------------------------------
 
 class Tokens:
-    """Ids of whole texts. Byte-level merges never cross a lone space before a word, so words with
-    their leading space are encoded once and remembered."""
+    """Ids of whole texts, as ``tokenizers`` makes them from its file.
+
+    Byte-level merges never cross a lone space before a word, so words with their leading space are
+    encoded once and remembered. New words go through ``tiktoken``, which merges three times
+    faster, with the ranks of the same file; the first ones of each process are compared with
+    ``tokenizers``, which does all the work where the two differ.
+    """
 
     SPACE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -60,6 +69,7 @@ class Tokens:
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[str, bytes] = {}
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.fast, self.compared = byte_merges(self.tokenizer), 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -67,16 +77,23 @@ class Tokens:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of words behind a space, in one call: a line break between them stays a token."""
-        if len(self.line) != 1 or any("\n" in w for w in words):
+        text = " " + "\n ".join(words)
+        if len(self.line) != 1 or text.count("\n") != len(words) - 1:
             return self.encode([" " + w for w in words])
-        text = "\n".join(" " + w for w in words)
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids,
-                       self.kind)
+        if self.fast is None or self.compared < COMPARED_WORDS:
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            self.compared += len(words)
+            if self.fast is not None and self.fast.encode_ordinary(text) != ids:
+                self.fast = None
+        else:
+            ids = self.fast.encode_ordinary(text)
+        ids = np.array(ids, self.kind)
         ends = [*np.flatnonzero(ids == self.line[0]).tolist(), len(ids)]
-        starts = [0, *(e + 1 for e in ends)]
         if len(ends) != len(words):
             return self.encode([" " + w for w in words])
-        return [ids[a:b].tobytes() for a, b in zip(starts, ends)]
+        data, size = ids.tobytes(), ids.itemsize
+        starts = [0, *(e + 1 for e in ends)]
+        return [data[size * a:size * b] for a, b in zip(starts, ends)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > CACHED_WORDS:
@@ -84,13 +101,15 @@ class Tokens:
         known = self.words
         split = [text.split(" ") for text in texts]
         new = self.unknown(split)
-        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        odd = {w for w in new if not w or w.strip() is not w}
         if odd:  # a space beside other white space is not where a token must end
             for i, words in enumerate(split):
                 if words[0] in odd or words[0][-1:].isspace() or not odd.isdisjoint(words[1:]):
                     split[i] = self.SPACE.split(texts[i])
             new = self.unknown(split)
-        for names in ([w for w in new if "\n" not in w], [w for w in new if "\n" in w]):
+        broken = [w for w in new if "\n" in w]
+        whole = list(new.difference(broken))
+        for names in (whole, broken):
             known.update(zip(names, self.encode_words(names)))
         heads = self.encode([words[0] for words in split])
         return [np.frombuffer(first + b"".join(map(known.__getitem__, words[1:])), self.kind)
@@ -100,13 +119,41 @@ class Tokens:
         return set().union(*[words[1:] for words in split]).difference(self.words)
 
 
+def byte_merges(tokenizer):
+    """A ``tiktoken`` encoding with the ranks of a byte-level tokenizer; None if it is another."""
+    import tiktoken
+
+    # byte-level files write bytes as characters: visible ones as themselves, others from 256 on
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(visible)]
+    letter = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    ranks = {}
+    for token, number in tokenizer.get_vocab().items():
+        if token not in special:
+            if not all(c in letter for c in token):
+                return None
+            ranks[bytes(letter[c] for c in token)] = number
+    try:
+        return tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=ranks,
+                                 special_tokens={})
+    except Exception:  # the ranks are not those of byte pairs
+        return None
+
+
+@functools.cache
+def tokens_of(path: str) -> Tokens:
+    """One per process, so that its words serve all tasks that run there."""
+    return Tokens(path)
+
+
 def tokenise(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, ids."""
     schema = "doc_id long, piece int, start long, length int, ids_crc32 long, ids binary"
     layout = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(vocabulary)
+        tokens = tokens_of(vocabulary)
         for batch in batches:
             names = batch.column(0).to_pylist()
             for at in range(0, len(names), 256):
