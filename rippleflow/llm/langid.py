@@ -43,7 +43,10 @@ WORD = re.compile(r"[^\W\d_]+")
 
 def words_of(token: str) -> list[str]:
     """Lower-case words of a piece of text: runs of letters."""
-    return [w for w in WORD.findall(token.lower()) if any(map(str.isalpha, w))]
+    lower = token.lower()
+    if lower.isalpha():
+        return [lower]
+    return [w for w in WORD.findall(lower) if any(map(str.isalpha, w))]
 
 
 def grams_of(word: str, order: int) -> list[str]:
@@ -112,41 +115,56 @@ def count_grams(words: DataFrame) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, unit: str, totals: dict[str, int], limit: int) -> list:
-    """The units with the largest relative frequency in some language, with all their counts."""
+    """The units with the largest relative frequency in some language, with all their counts.
+
+    Frequencies are sorted into bins one per cent wide; whole bins are taken from the top while
+    they hold at most ``limit`` units together. So only the chosen units reach the driver, however
+    many parts the counts have.
+    """
     weight: Column = F.lit(0.0)
     for lang, total in totals.items():
         weight = F.when(F.col("lang") == lang, F.col("n") / F.lit(float(total))).otherwise(weight)
-    return (counts.groupBy(unit).agg(
+    units = counts.groupBy(unit).agg(
         F.max(weight).alias("share"), F.map_from_entries(F.collect_list(F.struct("lang", "n")))
-        .alias("counts")).orderBy(F.desc("share"), unit).limit(limit)
-        .select(unit, "counts").collect())
+        .alias("counts")).withColumn("bin", F.floor(F.log("share") * 100).cast("int"))
+    taken, lowest = 0, None
+    for row in units.groupBy("bin").count().orderBy(F.desc("bin")).collect():
+        taken += row["count"]
+        if taken > limit:
+            break
+        lowest = row["bin"]
+    if lowest is None:
+        return []
+    return units.where(F.col("bin") >= lowest).select(unit, "counts").collect()
 
 
 @dataclass
 class Model:
+    """Scores per language of words and, by length, of n-grams."""
+
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[int, dict[str, np.ndarray]]
+    words: dict[str, list[float]]
+    grams: dict[int, dict[str, list[float]]]
 
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> list[float]:
         known = self.words.get(word)
         if known is not None:
             return known
         for order in ORDERS:
-            found = [v for v in map(self.grams[order].get, grams_of(word, order)) if v is not None]
+            known = self.grams[order]
+            found = [known[g] for g in grams_of(word, order) if g in known]
             if found:
                 # an n-gram shares its characters with its neighbours
-                return np.sum(found, axis=0) / order
-        return np.zeros(len(self.languages))
+                return [sum(scores) / order for scores in zip(*found)]
+        return [0.0] * len(self.languages)
 
-    def token(self, token: str) -> np.ndarray:
+    def token(self, token: str) -> list[float]:
         """The sum over a token's words, and their number."""
         words = words_of(token)
-        total = np.zeros(len(self.languages) + 1)
-        for word in words:
-            total[:-1] += self.word(word)
-        total[-1] = len(words)
-        return total
+        if len(words) == 1:
+            return [*self.word(words[0]), 1.0]
+        return [*map(sum, zip([0.0] * len(self.languages), *map(self.word, words))),
+                float(len(words))]
 
 
 def train(labelled: DataFrame, words: int = MODEL_WORDS, grams: int = MODEL_GRAMS) -> Model:
@@ -163,8 +181,8 @@ def train(labelled: DataFrame, words: int = MODEL_WORDS, grams: int = MODEL_GRAM
 
     def logs(rows, unit, total_of, kinds):
         floor = {lang: math.log(total_of(lang) + SMOOTHING * kinds) for lang in languages}
-        return {r[unit]: np.array([math.log(r["counts"].get(lang, 0) + SMOOTHING) - floor[lang]
-                                   for lang in languages]) for r in rows}
+        return {r[unit]: [math.log(r["counts"].get(lang, 0) + SMOOTHING) - floor[lang]
+                          for lang in languages] for r in rows}
 
     kept = most_frequent(counts, "word", totals, words) if languages else []
     table = {}
@@ -205,6 +223,16 @@ class TokenScores(dict):
         return languages[best], float(1 / np.exp(total[:-1] - total[best]).sum())
 
 
+_SCORES: dict[int, TokenScores] = {}
+
+
+def scores_of(shared) -> TokenScores:
+    """One table per process and model, so that it serves all tasks that run there."""
+    if shared.value is not getattr(_SCORES.get(0), "model", None):
+        _SCORES[0] = TokenScores(shared.value)
+    return _SCORES[0]
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """All input columns with ``lang_pred`` and ``score``, from the texts alone."""
     spark = docs.sparkSession
@@ -213,11 +241,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     rest = [c for c in docs.columns if c.lower() not in own]
     kept = docs.select(*[F.col(f"`{c}`") for c in rest], "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    scores: dict[str, TokenScores] = {}
 
     def run(batch: pa.RecordBatch) -> dict:
-        state = scores.setdefault("here", None) or scores.update(
-            here=TokenScores(shared.value)) or scores["here"]
+        state = scores_of(shared)
         got = [state.text(t) for t in batch.column(len(rest)).to_pylist()]
         return dict(zip(kept_names, batch.columns)) | {
             "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
