@@ -243,6 +243,8 @@ def iterate(
     whose terms are large neither ends nor prolongs another one.
     """
     keys, link_keys = list(keys), list(link_keys)
+    if taken := {"label", "term", "total", "scale", "mass", "past"} & set(keys):
+        raise ValueError(f"key columns need other names than {sorted(taken)}")
     seed = cut_lineage(vector.select(
         *keys, "label", F.col("value").alias("term"), F.col("value").alias("total"),
         (F.col(damp) if damp else F.lit(1.0)).alias("scale"),

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rippleflow.functions.labels import label
-from rippleflow.operators import leontief, macro, views, volume
+from rippleflow.operators import leontief, views
+from rippleflow.plans import scenario
 from rippleflow.plans.joins import union_all
 from rippleflow.session import cut_lineage
 from rippleflow.workload import q_flows
@@ -16,16 +17,20 @@ from rippleflow.workload.economy import economy
 def _make(spark, d):
     e = economy(spark, d)
     s, y = shocks(spark, "flat", "supply"), years(spark, "flat", "supply")
-    cost = cut_lineage(leontief.carbon_cost(s, y, e.output, e.satellite))
-    parts = cut_lineage(leontief.decompose(e.price_propagator, cost))
-    dp = parts.groupBy("scenario_id", "year", "region", "sector").agg(F.sum("value").alias("value"))
-    run = volume.volume_run(e.quantity_propagator, dp, e.final_demand, e.output, elasticities(spark),
-                            volume.productivity_multiplier(s, y, e.output))
-    run = macro.append_macro(run, macro.value_added(e.coeff, e.output))
+    run = scenario.run(build_of(spark, d), s, y, "volume")
+    # The parts of the price change as the price model reports them.
+    cost = leontief.carbon_cost(s, y, e.output, e.satellite)
+    parts = leontief.decompose(e.price_propagator, cost)
     part_rows = leontief.as_results(parts, F.concat(F.lit("price_change_"), F.col("part")))
     return cut_lineage(union_all([run, part_rows]))
 
 
+def build_of(spark, d):
+    e = economy(spark, d)
+    return scenario.Build(e.coeff, e.output, e.final_demand, e.satellite, e.price_propagator,
+                          e.quantity_propagator, elasticities=elasticities(spark))
+
+
 def results(spark, d):
     e = economy(spark, d)
     return e._memo("results", lambda: _make(spark, d))
