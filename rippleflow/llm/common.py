@@ -10,6 +10,8 @@ Conventions of all operators here:
 
 from __future__ import annotations
 
+import functools
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,6 +23,7 @@ from pyspark.sql import types as T
 from rippleflow.session import ensure_checkpoint_dir
 
 BROADCAST_ROWS = 100_000
+STEP_ROWS = 512
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -39,6 +42,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did.
+
+    That serves workers on the driver's machine and on machines with the same folders; elsewhere
+    the package comes with the job, as with ``--py-files``.
+    """
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if here not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([here, *filter(None, paths)])
+
+
+def placed(query: Callable) -> Callable:
+    """A query or stage that first makes the package known to Python workers."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *arguments):
+        on_workers(spark)
+        return query(spark, *arguments)
+
+    return run
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -46,20 +73,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str
 ) -> DataFrame:
-    """Apply ``fn`` to each Arrow batch; it returns the result columns by name."""
+    """Apply ``fn`` to each step of an Arrow batch; it returns the result columns by name."""
     names = T._parse_datatype_string(schema).fieldNames()
     layout = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                got = fn(batch)
+            for part in steps(batch):
+                got = fn(part)
                 yield pa.RecordBatch.from_arrays(
                     [as_array(got[n], layout.field(n).type) for n in names], schema=layout)
 
     return df.mapInArrow(run, schema)
 
 
+def steps(batch: pa.RecordBatch, rows: int = STEP_ROWS) -> Iterator[pa.RecordBatch]:
+    """A batch in short parts, so that few texts are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def as_array(values, kind: pa.DataType) -> pa.Array:
     if isinstance(values, pa.ChunkedArray):
         values = values.combine_chunks()
@@ -80,6 +113,19 @@ def unit_hash(*parts: Column | str) -> Column:
         float(1 << 52))
 
 
+def hash_sample(df: DataFrame, rows: int, seed: int, *columns: str) -> DataFrame:
+    """About ``rows`` rows whose hash lies below a threshold, or all of a smaller table.
+
+    A row's part in it depends on its own columns and the table's count, so no task or driver
+    gathers more than its share; twice ``rows`` is a bound for all practical purposes.
+    """
+    total = df.count()
+    if total <= rows:
+        return df
+    share = F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 32))
+    return df.where(share < F.lit(int(rows / total * (1 << 32))))
+
+
 def null_safe_key(column: Column) -> Column:
     """A grouping key under which a missing value equals itself and no other value."""
     return F.when(column.isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), column.cast("string")))

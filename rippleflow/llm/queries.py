@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rippleflow.llm import (
     langid, mixing, packing, pii, quality, sharding, simhash, toxicity, vptree, warc,
 )
-from rippleflow.llm.common import documents
+from rippleflow.llm.common import documents, placed
 
 #: Mixing: weights of the sources; any other source has weight 1.
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
@@ -20,7 +20,7 @@ PII_KEY_SETTING, PII_KEY = "rippleflow.pii.key", "change-me"
 SHARDS = 8
 CAPACITY = 1024
 #: What decides that a document is toxic.
-TOXIC_AT = 0.5
+TOXIC_AT = 0.4
 
 
 def vocabulary_path() -> str:
@@ -98,7 +98,7 @@ def op10_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("toxic") >= TOXIC_AT).alias("toxic"))
 
 
-QUERIES = {f.__name__: f for f in (
+QUERIES = {f.__name__: placed(f) for f in (
     op1_poisson_mixing, op2_language_id, op3_vantage_point_trees, op4_feistel_pseudonyms,
     op5_external_shuffle, op6_weak_supervision, op7_simhash, op8_warc, op9_linear_grouping,
     op10_classifier_chain)}

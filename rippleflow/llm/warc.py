@@ -12,7 +12,7 @@ write archives of about ``ARCHIVE_BYTES`` of records into the shared folder, und
 own attempt, and return a list of what they wrote; only archives on the list are read, so a task
 that is lost and runs again leaves nothing that counts.
 
-The dictionary is trained on at most ``SAMPLE_PAGES`` pages, chosen by a hash, and at most
+The dictionary is trained on about ``SAMPLE_PAGES`` pages, chosen by a hash, and at most
 ``SAMPLE_BYTES`` of each.
 
 Defined cases: a missing page is an empty payload and a response; a missing url leaves the target
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rippleflow.llm.common import arrow_schema, join_sized, shared_path
+from rippleflow.llm.common import arrow_schema, hash_sample, join_sized, shared_path
 from rippleflow.session import cut_lineage
 
 SMALLEST_REVISIT = 100
@@ -193,10 +193,9 @@ def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of pages; empty if that is too small to train on."""
     import zstandard
 
-    sample = pages.where("html IS NOT NULL").select(
-        F.substring(F.encode("html", "UTF-8"), 1, SAMPLE_BYTES).alias("part"),
-        F.xxhash64("page_id", "html").alias("order")).orderBy("order").limit(SAMPLE_PAGES)
-    parts = [bytes(r["part"]) for r in sample.collect()]
+    sample = hash_sample(pages.where("html IS NOT NULL"), SAMPLE_PAGES, 13, "page_id", "url").select(
+        F.substring(F.encode("html", "UTF-8"), 1, SAMPLE_BYTES).alias("part"))
+    parts = sorted(bytes(r["part"]) for r in sample.collect())[:2 * SAMPLE_PAGES]
     size = min(DICTIONARY_BYTES, sum(map(len, parts)) // 10)
     try:
         return zstandard.train_dictionary(size, parts).as_bytes() if size >= 1024 else b""
