@@ -7,7 +7,7 @@ earlier ones as uncertain as they are on new texts. Features are lower-case word
 of four and five letters, each once per text; those that tell a category apart (chi-square) are
 kept.
 
-Bounds: the chain is fitted on at most ``SAMPLE`` labelled rows, chosen by a hash of the id, and
+Bounds: the chain is fitted on about ``SAMPLE`` labelled rows, chosen by a hash of the id, and
 ``FEATURES`` features per category; the driver gets the feature numbers of these rows. Every
 document is scored, whole.
 
@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rippleflow.llm.common import arrow_schema, map_batches
+from rippleflow.llm.common import arrow_schema, hash_sample, map_batches
 
 SAMPLE = 12_000
 FEATURES = 1_500
 LEAST_TEXTS = 4
+#: Weaker links between a feature and a category are as likely chance, among so many features.
+LEAST_CHI_SQUARE = 15.0
 FOLDS = 3
 PENALTY = 1.0
 STEPS = 150
@@ -164,7 +166,8 @@ def select_features(sample: DataFrame, categories: list[str], limit: int) -> lis
         a, n = F.col(f"c{i}"), F.col("n")
         gap = (a * float(size) - n * float(positive))
         score = gap * gap / (n * (float(size) - n + 1) * float(positive * (size - positive)))
-        best = counted.orderBy(F.desc(score), "feature").limit(limit).select("feature").collect()
+        telling = counted.where(score * float(size) >= LEAST_CHI_SQUARE)
+        best = telling.orderBy(F.desc(score), "feature").limit(limit).select("feature").collect()
         chosen.update(r["feature"] for r in best)
     return sorted(chosen)
 
@@ -181,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sam
     label = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[
         F.max(F.coalesce(c, F.lit(False)).cast("long")).alias(n) for n, c in categories.items()])
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    chosen = label.orderBy(order, "doc_id").limit(sample)
+    chosen = hash_sample(label, sample, seed + 1, "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
         "doc_id", "text", F.pmod(order, F.lit(FOLDS)).cast("int").alias("fold"), *names)
     rows = rows.persist()
