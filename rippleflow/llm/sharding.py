@@ -64,7 +64,8 @@ def external_shuffle(docs: DataFrame, shards: int, seed: int = 23,
         places = F.broadcast(places)
 
     # the sort makes the order before the shuffle a function of the rows
-    dealt = scattered.repartition(buckets, "__bucket").sortWithinPartitions(
+    # each bucket is a partition of its own, where hashing the number would make some of them meet
+    dealt = scattered.repartitionById(buckets, F.col("__bucket")).sortWithinPartitions(
         "__bucket", "doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in columns if _hashable(docs, c)]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scattered.schema.fields)
     schema += ", __rank long"
