@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from rippleflow.llm.common import arrow_schema
 
 SHARD_ROWS = 20_000
-LEAF = 64
+LEAF = 256
 QUERY_BLOCK = 512
 #: Distances this close are taken as equal while searching; exact scores decide later.
 CLOSE = 1e-9
