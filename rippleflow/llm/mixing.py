@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rippleflow.llm.common import join_sized, null_safe_key, unit_hash
+from rippleflow.llm.common import join_sized, null_safe_key, staged, unit_hash
 
 #: One draw covers a rate up to this; a larger rate is a sum of independent draws.
 RATE_PER_DRAW = 16.0
@@ -27,9 +27,9 @@ TERMS = 80
 
 def source_rates(docs: DataFrame, weights: dict[str, float], default_weight: float,
                  epochs: float) -> DataFrame:
-    """Per source: size, target share, mean repetition rate. One row per source."""
-    sizes = docs.groupBy(null_safe_key(F.col("source")).alias("source_key")).agg(
-        F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
+    """Per source: the mean repetition rate. One row per source, from one pass over the texts."""
+    sizes = staged(docs.groupBy(null_safe_key(F.col("source")).alias("source_key")).agg(
+        F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")), "source-sizes")
     weight = F.lit(float(default_weight))
     for name, value in weights.items():
         weight = F.when(F.col("source_key") == "=" + name, F.lit(float(value))).otherwise(weight)
