@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippleflow.functions.labels import base_code, checked, label, numeric_key, prefixes
+from rippleflow.functions.hashing import map_hash
 from rippleflow.operators.harmonise import (
     coefficients_to_flows, flows_to_coefficients,
 )
@@ -324,6 +325,20 @@ def zero_supply_products(supply: DataFrame) -> DataFrame:
     return supply.groupBy("product").agg(F.sum("v").alias("v")).where("v <= 0").select("product")
 
 
+def coarse_build_ids(builds: DataFrame, concordance_id: str, sector_map: DataFrame,
+                     region_map: DataFrame) -> DataFrame:
+    """(build_id, coarse_id): ids of aggregated builds, named by the content of both maps.
+
+    A changed map gives another id, so it never overwrites the build of the map before.
+    """
+    maps = union_all([m.select(F.lit(kind).alias("kind"), "source", "target",
+                               F.format_number(F.col("weight"), 10).alias("w"))
+                      for kind, m in (("sector", sector_map), ("region", region_map))])
+    digest = map_hash(maps, ["kind", "source", "target", "w"], length=8)
+    return builds.select("build_id").join(digest).select("build_id", F.concat_ws(
+        "-", "build_id", F.lit(concordance_id), "content_hash").alias("coarse_id"))
+
+
 # -- bilateral trade -----------------------------------------------------------------------------
 
 def trade_by_route(flows: DataFrame, final_demand: DataFrame) -> DataFrame:

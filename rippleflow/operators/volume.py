@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rippleflow.functions.labels import checked, label
@@ -10,30 +10,35 @@ from rippleflow.operators.harmonise import total_by_label
 from rippleflow.operators.leontief import as_results, covered_goods, gross_output, shock_levels
 from rippleflow.plans.fixpoint import Propagator
 from rippleflow.plans.joins import union_all
-from rippleflow.schema import BANDS
-from rippleflow.session import cut_lineage
+from rippleflow.schema import BANDS, ELASTICITY
+from rippleflow.session import cut_lineage, literal_table
 
 # The demand elasticity band of a good without an entry of its own.
 DEFAULT_ELASTICITY = {"low": -0.8, "central": -0.5, "high": -0.2}
 
-# Own-price demand elasticities (low, central, high) of the coarse sectors.
-COARSE_DEMAND_ELASTICITIES = {
-    "energy_coal": (-0.9, -0.5, -0.3),
-    "energy_oil_gas": (-0.8, -0.4, -0.2),
-    "electricity": (-0.5, -0.3, -0.1),
-    "agriculture": (-0.6, -0.4, -0.2),
-    "mining": (-0.9, -0.6, -0.3),
-    "chemicals": (-1.0, -0.7, -0.4),
-    "metals": (-1.1, -0.8, -0.5),
-    "minerals": (-0.9, -0.6, -0.3),
-    "manufacturing": (-1.3, -0.9, -0.6),
-    "construction": (-0.7, -0.5, -0.3),
-    "transport": (-1.0, -0.6, -0.3),
-    "water_waste": (-0.4, -0.2, -0.1),
-    "trade": (-1.2, -0.8, -0.5),
-    "services": (-1.0, -0.7, -0.4),
-    "other": (-0.8, -0.5, -0.2),
-}
+# Own-price demand elasticities of the coarse sectors, their basis and confidence.
+COARSE_DEMAND_ELASTICITIES = [
+    ("energy_coal", -0.9, -0.5, -0.3, "energy demand meta-analyses (coal is substitutable)", "medium"),
+    ("energy_oil_gas", -0.8, -0.4, -0.2, "energy demand literature", "medium"),
+    ("electricity", -0.5, -0.3, -0.1, "electricity demand studies (inelastic)", "medium"),
+    ("agriculture", -0.6, -0.4, -0.2, "food demand systems (inelastic staples)", "medium"),
+    ("mining", -0.9, -0.6, -0.3, "proxy from intermediate-substitution elasticities (derived)", "low"),
+    ("chemicals", -1.0, -0.7, -0.4, "proxy from GTAP intermediate-substitution elasticities", "low"),
+    ("metals", -1.1, -0.8, -0.5, "proxy from GTAP intermediate-substitution elasticities", "low"),
+    ("minerals", -0.9, -0.6, -0.3, "proxy from GTAP intermediate-substitution elasticities", "low"),
+    ("manufacturing", -1.3, -0.9, -0.6, "manufactured-goods demand (elastic)", "medium"),
+    ("construction", -0.7, -0.5, -0.3, "investment-good demand", "low"),
+    ("transport", -1.0, -0.6, -0.3, "transport demand studies", "medium"),
+    ("water_waste", -0.4, -0.2, -0.1, "utility demand (very inelastic)", "low"),
+    ("trade", -1.2, -0.8, -0.5, "trade-service demand", "low"),
+    ("services", -1.0, -0.7, -0.4, "services demand", "medium"),
+    ("other", -0.8, -0.5, -0.2, "residual bucket", "default"),
+]
+
+
+def default_elasticities(spark: SparkSession) -> DataFrame:
+    """The demand elasticities of a run that brings none, over the coarse sectors."""
+    return literal_table(spark, COARSE_DEMAND_ELASTICITIES, ELASTICITY)
 
 
 def elasticity_by_sector(sectors: DataFrame, elasticities: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from rippleflow.plans.joins import union_all
 from rippleflow.session import literal_table
 from rippleflow.workload import inputs, q_flows, q_nature
 from rippleflow.workload.common import economy_sql, r6, rounded, values, with_sql
-from rippleflow.workload.economy import economy
+from rippleflow.workload.economy import economy, read
 
 SLOW = [0.99, 0.9995]
 SCALES = [1e12, 1.0]
@@ -158,14 +158,44 @@ def label_bridge(spark, d):
     return concord.bridge(inputs.sector_groups(spark, d), used)
 
 
+def default_elasticity_set(spark, d):
+    """The default band of the coarse sector that each part size stands for."""
+    names = F.array(*[F.lit(row[0]) for row in volume.COARSE_DEMAND_ELASTICITIES])
+    parts = read(spark, d, "part").groupBy(F.element_at(names, (F.col("p_size") % 15 + 1).cast(
+        "int")).alias("sector")).agg(F.count("*").alias("n_parts"))
+    found = volume.elasticity_by_sector(parts, volume.default_elasticities(spark))
+    return found.join(parts, "sector").drop("is_default")
+
+
+def coarse_build_id(spark, d):
+    """Ids of the builds of two line states, aggregated by the group and region maps."""
+    builds = read(spark, d, "lineitem").select(F.col("l_linestatus").alias("build_id")).distinct()
+    return concord.coarse_build_ids(builds, "custom", inputs.sector_groups(spark, d),
+                                    inputs.nation_map(spark, d))
+
+
 QUERIES = {f.__name__: f for f in (
-    fixed_point_scales, fixed_point_slow, spectral_parts, unaligned_producers, bad_volume_inputs,
+    default_elasticity_set, coarse_build_id, fixed_point_scales, fixed_point_slow, spectral_parts, unaligned_producers, bad_volume_inputs,
     unmapped_ratings, rest_of_world, sweep_bands, active_routes, scale_rules,
     foreign_savings_shift, label_bridge)}
 
 _E = with_sql(economy_sql())
 
 ORACLES = {
+    "default_elasticity_set": "WITH " + values(
+        "e", "sector, low, central, high, source, confidence, pos",
+        [(*row, i) for i, row in enumerate(volume.COARSE_DEMAND_ELASTICITIES)]) + """
+SELECT sector, low, central, high, source, confidence, count(*) AS n_parts
+FROM part JOIN e ON p_size % 15 = pos GROUP BY ALL""",
+    "coarse_build_id": """
+WITH sg AS (SELECT DISTINCT p_type AS source, m.target, m.weight FROM part, LATERAL (VALUES
+  ('goods', CASE WHEN p_type = 'SMALL' THEN 0.25 WHEN p_type IN ('LARGE','MEDIUM','STANDARD') THEN 1.0 ELSE 0.0 END),
+  ('other', CASE WHEN p_type = 'SMALL' THEN 0.75 WHEN p_type IN ('LARGE','MEDIUM','STANDARD') THEN 0.0 ELSE 1.0 END))
+  AS m(target, weight) WHERE m.weight > 0),
+maps AS (SELECT 'sector=' || source || '=' || target || '=' || format('{:.10f}', weight::DOUBLE) AS t FROM sg
+ UNION ALL SELECT 'region=' || n_name || '=' || r_name || '=1.0000000000' FROM nation JOIN region ON r_regionkey = n_regionkey),
+h AS (SELECT substring(sha256(count(*)::VARCHAR || '|' || sum(('0x' || substring(sha256(t), 1, 15))::BIGINT::HUGEINT)::VARCHAR), 1, 8) AS h FROM maps)
+SELECT DISTINCT l_linestatus AS build_id, l_linestatus || '-custom-' || h AS coarse_id FROM lineitem, h""",
     "fixed_point_scales": _E + "," + values("s", "factor", [(s,) for s in SCALES]) + f"""
 SELECT strategy, factor, region, sector, {r6('x', 7)} AS x FROM x, s, (VALUES ('square'), ('walk')) AS t(strategy)""",
     "fixed_point_slow": _E + "," + values("s", "share", [(s,) for s in SLOW]) + f"""
