@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rippleflow.llm.common import arrow_schema, map_batches
+from rippleflow.llm.common import arrow_schema, map_batches, steps
 
 UNKNOWN = "und"
 MODEL_WORDS = 60_000
@@ -35,9 +35,9 @@ MODEL_GRAMS = 20_000
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 #: Distinct counters that a task holds before it hands them on.
-HELD = 400_000
+HELD = 150_000
 #: Scored tokens that a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -71,7 +71,7 @@ def count_words(labelled: DataFrame) -> DataFrame:
 
     def run(batches):
         held: dict[str, Counter] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in steps(whole)):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.setdefault(lang, Counter()).update(text.split())
                 if len(held[lang]) > HELD:

@@ -25,7 +25,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rippleflow.llm.common import arrow_schema, as_array
+from rippleflow.llm.common import arrow_schema, as_array, steps
 
 ROUNDS = 8
 FIRST_DAY = dt.date(1900, 1, 1).toordinal()
@@ -211,7 +211,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
 
     def run(batches):
         pseudonyms = Pseudonyms(key.encode())
-        for batch in batches:
+        for batch in (part for whole in batches for part in steps(whole)):
             texts, spans = batch.column(len(rest)).to_pylist(), []
             for i, text in enumerate(texts):
                 found = []
