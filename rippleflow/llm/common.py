@@ -91,6 +91,7 @@ def steps(batch: pa.RecordBatch, rows: int = STEP_ROWS) -> Iterator[pa.RecordBat
     """A batch in short parts, so that few texts are Python objects at a time."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def as_array(values, kind: pa.DataType) -> pa.Array:

@@ -35,9 +35,9 @@ MODEL_GRAMS = 20_000
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 #: Distinct counters that a task holds before it hands them on.
-HELD = 150_000
+HELD = 80_000
 #: Scored tokens that a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 80_000
 WORD = re.compile(r"[^\W\d_]+")
 
 

@@ -42,7 +42,7 @@ END = 2
 GROUPS = 48
 #: Lengths above this share of a sequence are large.
 LARGE = 1 / 8
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 COMPARED_WORDS = 5_000
 # Fixed value: how byte-level tokenizers of this kind part a text before merging.
 WORD_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
