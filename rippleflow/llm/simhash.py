@@ -48,19 +48,27 @@ BYTE_PLACES = np.arange(8, dtype=np.int64) * 256
 
 # ---- fingerprints ---------------------------------------------------------------------------
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Bits that are set in over half of the hashes of all shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of all word shingles, repeats included."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().translate(ASCII_LOWER).split()
     if not words:
-        return 0
+        return np.array([], np.uint64)
     if len(words) <= shingle:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle))))
     count = max(1, len(words) - shingle + 1)
-    hashes = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, count)
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, count)
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Bits that are set in over half of the hashes of all shingles, repeats included."""
+    hashes = shingle_hashes(text, shingle)
+    count = len(hashes)
+    if not count:
+        return 0
     # how often each of the eight bytes has each value, then bits from byte values
     octets = hashes.astype("<u8").view(np.uint8).reshape(count, 8) + BYTE_PLACES
     counts = np.bincount(octets.ravel(), minlength=2048).reshape(8, 256) @ BYTE_BITS
