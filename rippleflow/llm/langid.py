@@ -1,14 +1,15 @@
 """Language identification, word first with back-off to character n-grams.
 
-Training counts every word of every training row per language. The model keeps the words that are
-most frequent in some language and, per n-gram length, the n-grams that are (n-grams come from all
-counted words). A known word scores by its log frequency in each language. An unseen word scores
+Training counts every word of every training row per language, and the n-grams of all counted words.
+A known word scores by its log frequency in each language. An unseen word scores
 by its n-grams: of four characters if any of them is known, else of three, two, one; word borders
 count as characters. The language with the largest sum over all words of the whole text wins, and
 the score is its share of probability against the others.
 
-Sizes: at most ``MODEL_WORDS`` words and ``MODEL_GRAMS`` n-grams of each length are kept, each with
-one number per language; that bounds the model that the executors get. All counts cover all rows.
+Sizes: every counted word and n-gram is scored. While all counts fit in ``MODEL_CELLS`` numbers, the
+executors get them packed as sorted hashes with one number per language. Beyond that nothing is
+gathered: words of texts are joined to the count tables and summed per text, with equal results.
+Units are told apart by 64-bit hashes.
 
 Defined cases: a missing text, or one without a letter, is ``und`` with score 0, and so is every
 text if there is nothing to learn from; ties go to the language that sorts first; repeated rows
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from rippleflow.llm.common import arrow_schema, map_batches, steps
 
 UNKNOWN = "und"
-MODEL_WORDS = 60_000
-MODEL_GRAMS = 20_000
+#: Numbers of a packed model (128 MB): a hash and one per language for each word and n-gram.
+MODEL_CELLS = 16_000_000
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 #: Distinct counters that a task holds before it hands them on.
@@ -114,28 +115,51 @@ def count_grams(words: DataFrame) -> DataFrame:
         run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def most_frequent(counts: DataFrame, unit: str, totals: dict[str, int], limit: int) -> list:
-    """The units with the largest relative frequency in some language, with all their counts.
-
-    Frequencies are sorted into bins one per cent wide; whole bins are taken from the top while
-    they hold at most ``limit`` units together. So only the chosen units reach the driver, however
-    many parts the counts have.
-    """
-    weight: Column = F.lit(0.0)
-    for lang, total in totals.items():
-        weight = F.when(F.col("lang") == lang, F.col("n") / F.lit(float(total))).otherwise(weight)
-    units = counts.groupBy(unit).agg(
-        F.max(weight).alias("share"), F.map_from_entries(F.collect_list(F.struct("lang", "n")))
-        .alias("counts")).withColumn("bin", F.floor(F.log("share") * 100).cast("int"))
-    taken, lowest = 0, None
-    for row in units.groupBy("bin").count().orderBy(F.desc("bin")).collect():
-        taken += row["count"]
-        if taken > limit:
-            break
-        lowest = row["bin"]
-    if lowest is None:
-        return []
-    return units.where(F.col("bin") >= lowest).select(unit, "counts").collect()
+def by_language(counts: DataFrame, unit: str, languages: list[str]) -> DataFrame:
+    """(unit, n0, n1, ...): a row for each counted unit."""
+    return counts.groupBy(unit).agg(*[
+        F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}")
+        for i, lang in enumerate(languages)])
+
+
+def unit_key(unit: str) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(unit.encode())
+
+
+class Packed:
+    """Scores by unit, as sorted hashes and a matrix."""
+
+    def __init__(self, keys: np.ndarray, scores: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.scores = keys[order], scores[order]
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def get(self, unit: str) -> list[float] | None:
+        key = np.uint64(unit_key(unit))
+        at = self.keys.searchsorted(key)
+        return self.scores[at].tolist() if at < len(self.keys) and self.keys[at] == key else None
+
+
+def gathered(wide: DataFrame, floors: list[float]) -> Packed:
+    """The rows of (unit, n0, n1, ...) with their scores."""
+    layout = arrow_schema("part binary")
+
+    def run(batches):
+        for batch in batches:
+            rows = np.empty((batch.num_rows, batch.num_columns), np.uint64)
+            rows[:, 0] = list(map(unit_key, batch.column(0).to_pylist()))
+            for c in range(1, batch.num_columns):
+                rows[:, c] = batch.column(c).to_numpy().astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array([rows.tobytes()])], schema=layout)
+
+    parts = [np.frombuffer(r["part"], np.uint64).reshape(-1, len(floors) + 1)
+             for r in wide.mapInArrow(run, "part binary").collect()]
+    rows = np.concatenate([np.empty((0, len(floors) + 1), np.uint64), *parts])
+    return Packed(rows[:, 0].copy(), np.log(rows[:, 1:] + SMOOTHING) - np.array(floors))
 
 
 @dataclass
@@ -143,16 +167,16 @@ class Model:
     """Scores per language of words and, by length, of n-grams."""
 
     languages: list[str]
-    words: dict[str, list[float]]
-    grams: dict[int, dict[str, list[float]]]
+    words: dict[str, list[float]] | Packed
+    grams: dict[int, dict[str, list[float]] | Packed]
 
     def word(self, word: str) -> list[float]:
         known = self.words.get(word)
         if known is not None:
             return known
         for order in ORDERS:
-            known = self.grams[order]
-            found = [known[g] for g in grams_of(word, order) if g in known]
+            scores = map(self.grams[order].get, grams_of(word, order))
+            found = [x for x in scores if x is not None]
             if found:
                 # an n-gram shares its characters with its neighbours
                 return [sum(scores) / order for scores in zip(*found)]
@@ -167,31 +191,40 @@ class Model:
                 float(len(words))]
 
 
-def train(labelled: DataFrame, words: int = MODEL_WORDS, grams: int = MODEL_GRAMS) -> Model:
+@dataclass
+class CountTables:
+    """A model whose counts stay in tables: (word, n0, ...), (gram, n0, ...), and what the scores take
+    off the logarithms, by n-gram length (0: words)."""
+
+    languages: list[str]
+    words: DataFrame
+    grams: DataFrame
+    floors: dict[int, list[float]]
+
+
+def train(labelled: DataFrame, cells: int = MODEL_CELLS) -> Model | CountTables:
     """Learn from the columns ``lang`` and ``text`` of all rows."""
     from rippleflow.llm.common import staged
 
     counts = staged(count_words(labelled), "word-counts")
-    totals = {r["lang"]: r["n"] for r in
-              counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()}
-    languages = list(totals)
+    totals = {(r["lang"], 0): r["n"] for r in
+              counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    languages = sorted(lang for lang, _ in totals)
+    if not languages:
+        return Model([], {}, {order: {} for order in ORDERS})
     gram_counts = staged(count_grams(counts), "gram-counts")
-    gram_totals = {(r["lang"], r["k"]): r["n"] for r in gram_counts.groupBy(
+    totals |= {(r["lang"], r["k"]): r["n"] for r in gram_counts.groupBy(
         "lang", F.length("gram").alias("k")).agg(F.sum("n").alias("n")).collect()}
-
-    def logs(rows, unit, total_of, kinds):
-        floor = {lang: math.log(total_of(lang) + SMOOTHING * kinds) for lang in languages}
-        return {r[unit]: [math.log(r["counts"].get(lang, 0) + SMOOTHING) - floor[lang]
-                          for lang in languages] for r in rows}
-
-    kept = most_frequent(counts, "word", totals, words) if languages else []
-    table = {}
-    for order in ORDERS:
-        sizes = {lang: gram_totals.get((lang, order), 1) for lang in languages}
-        rows = most_frequent(gram_counts.where(F.length("gram") == order), "gram", sizes, grams) \
-            if languages else []
-        table[order] = logs(rows, "gram", sizes.get, len(rows))
-    return Model(languages, logs(kept, "word", totals.get, len(kept)), table)
+    words = staged(by_language(counts, "word", languages), "words")
+    grams = staged(by_language(gram_counts, "gram", languages), "grams")
+    kinds = {r["k"]: r["n"] for r in grams.groupBy(F.length("gram").alias("k")).agg(
+        F.count("*").alias("n")).collect()} | {0: words.count()}
+    floors = {k: [math.log(totals.get((lang, k), 1) + SMOOTHING * kinds.get(k, 0)) for lang in languages]
+              for k in (0, *ORDERS)}
+    if sum(kinds.values()) * (len(languages) + 1) > cells:
+        return CountTables(languages, words, grams, floors)
+    return Model(languages, gathered(words, floors[0]), {
+        order: gathered(grams.where(F.length("gram") == order), floors[order]) for order in ORDERS})
 
 
 class TokenScores(dict):
@@ -233,8 +266,10 @@ def scores_of(shared) -> TokenScores:
     return _SCORES[0]
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model | CountTables) -> DataFrame:
     """All input columns with ``lang_pred`` and ``score``, from the texts alone."""
+    if isinstance(model, CountTables):
+        return predict_joined(docs, model)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     own = ("lang_pred", "score", "text")
@@ -250,3 +285,69 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     kept_names = kept.columns
     return map_batches(kept, run, schema + ", lang_pred string, score double")
+
+
+def words_per_text(docs: DataFrame) -> DataFrame:
+    """(text_hash, word, n) of each distinct text."""
+    layout = arrow_schema("text_hash long, word string, n long")
+
+    def run(batches):
+        for batch in (part for whole in batches for part in steps(whole)):
+            rows = [(key, word, n) for key, text in zip(*(c.to_pylist() for c in batch.columns))
+                    for word, n in Counter(w for t in (text or "").split()
+                                           for w in words_of(t)).items()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ([], [], []), layout)],
+                schema=layout)
+
+    return docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, "text_hash long, word string, n long").groupBy("text_hash", "word").agg(
+        F.max("n").alias("n"))
+
+
+def predict_joined(docs: DataFrame, model: CountTables) -> DataFrame:
+    """As ``predict``, by joins with the count tables."""
+    from rippleflow.llm.common import join_sized, staged
+
+    numbers = range(len(model.languages))
+
+    def scored(table: DataFrame, floors: list[float]) -> list[Column]:
+        return [(F.log(table[f"n{i}"] + SMOOTHING) - floors[i]).alias(f"s{i}") for i in numbers]
+
+    tokens = staged(words_per_text(docs), "text-words")
+    words = model.words.select("word", *scored(model.words, model.floors[0]))
+    unseen = tokens.select("word").distinct().join(words.select("word"), "word", "left_anti")
+    layout = arrow_schema("word string, gram string")
+
+    def split(batches):
+        for batch in batches:
+            pairs = [(w, g) for w in batch.column(0).to_pylist() for k in ORDERS for g in grams_of(w, k)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.string()) for c in (zip(*pairs) if pairs else ([], []))], schema=layout)
+
+    grams = None
+    for order in ORDERS:
+        part = model.grams.where(F.length("gram") == order)
+        part = part.select("gram", *scored(part, model.floors[order]))
+        grams = part if grams is None else grams.union(part)
+    met = join_sized(unseen.mapInArrow(split, "word string, gram string"), grams, "gram").where("s0 IS NOT NULL")
+    # an n-gram shares its characters with its neighbours
+    met = met.groupBy("word", F.length("gram").alias("k")).agg(
+        *[(F.sum(f"s{i}") / F.col("k")).alias(f"s{i}") for i in numbers])
+    best = met.groupBy("word").agg(F.max_by(F.struct(*[f"s{i}" for i in numbers]), "k").alias("s"))
+    every = staged(words.union(best.select("word", "s.*")), "word-scores")
+    sums = join_sized(tokens, every, "word").groupBy("text_hash").agg(
+        *[F.sum(F.col("n") * F.coalesce(f"s{i}", F.lit(0.0))).alias(f"s{i}") for i in numbers])
+    top = F.greatest(*[f"s{i}" for i in numbers], F.lit(float("-inf")))
+    name = F.coalesce(*[F.when(F.col(f"s{i}") == top, F.lit(lang))
+                        for i, lang in enumerate(model.languages)])
+    share = F.lit(1.0) / sum(F.exp(F.col(f"s{i}") - top) for i in numbers)
+    found = staged(sums.select(F.col("text_hash").alias("__text"), name.alias("lang_pred"),
+                               share.alias("score")), "text-languages")
+    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "text")]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in rest], "text", F.xxhash64("text").alias("__text"))
+    joined = join_sized(keyed, found, "__text")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in rest], "text",
+        F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"),
+        F.coalesce("score", F.lit(0.0)).alias("score"))
