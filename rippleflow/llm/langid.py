@@ -143,6 +143,12 @@ class Packed:
         at = self.keys.searchsorted(key)
         return self.scores[at].tolist() if at < len(self.keys) and self.keys[at] == key else None
 
+    def find(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each unit is known, and its row."""
+        wanted = np.fromiter(map(unit_key, units), np.uint64, len(units))
+        at = np.minimum(self.keys.searchsorted(wanted), max(len(self.keys) - 1, 0))
+        return self.keys[at] == wanted if len(self.keys) else np.zeros(len(units), bool), at
+
 
 def gathered(wide: DataFrame, floors: list[float]) -> Packed:
     """The rows of (unit, n0, n1, ...) with their scores."""
@@ -243,10 +249,24 @@ class TokenScores(dict):
         self[token] = row
         return row
 
-    def text(self, text: str | None) -> tuple[str, float]:
-        tokens = (text or "").split()
+    def prepare(self, texts: list[str | None]) -> None:
+        """Look up the new tokens of several texts at once, where they are one known word."""
         if len(self) > REMEMBERED:
             self.clear()
+        if not isinstance(self.model.words, Packed):
+            return
+        new = [t for t in {t for text in texts for t in (text or "").split()} if t not in self]
+        single = [(t, w[0]) for t in new if len(w := words_of(t)) == 1]
+        known, at = self.model.words.find([w for _, w in single])
+        first, number = len(self), int(known.sum())
+        while len(self.table) < first + number:
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[first:first + number, :-1] = self.model.words.scores[at[known]]
+        self.table[first:first + number, -1] = 1
+        self.update(zip((single[k][0] for k in np.flatnonzero(known)), range(first, first + number)))
+
+    def text(self, text: str | None) -> tuple[str, float]:
+        tokens = (text or "").split()
         rows = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         total = self.table[rows].sum(axis=0)
         languages = self.model.languages
@@ -279,7 +299,9 @@ def predict(docs: DataFrame, model: Model | CountTables) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> dict:
         state = scores_of(shared)
-        got = [state.text(t) for t in batch.column(len(rest)).to_pylist()]
+        texts = batch.column(len(rest)).to_pylist()
+        state.prepare(texts)
+        got = [state.text(t) for t in texts]
         return dict(zip(kept_names, batch.columns)) | {
             "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
 
