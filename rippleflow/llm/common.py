@@ -132,17 +132,18 @@ def null_safe_key(column: Column) -> Column:
     return F.when(column.isNull(), F.lit("~")).otherwise(F.concat(F.lit("="), column.cast("string")))
 
 
-def join_sized(fact: DataFrame, dim: DataFrame, key: str, salts: int = 32,
+def join_sized(fact: DataFrame, dim: DataFrame, key: str | list[str], salts: int = 32,
                rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Left join with a table that has one row per ``key``.
+    """Left join with a lookup table, usually of one row per ``key`` (one column or several).
 
     The lookup side is broadcast only when at most ``rows`` rows are counted. Otherwise every fact
     row takes a salt from its other columns and the lookup rows are copied once per salt, so a key
     that holds a third of all rows spreads over ``salts`` tasks.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     if dim.limit(rows + 1).count() <= rows:
-        return fact.join(F.broadcast(dim), key, "left")
-    rest = [F.col(c) for c in fact.columns if c != key]
+        return fact.join(F.broadcast(dim), keys, "left")
+    rest = [F.col(c) for c in fact.columns if c not in keys]
     salted = fact.withColumn("__salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
     copies = dim.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "__salt"], "left").drop("__salt")
+    return salted.join(copies, [*keys, "__salt"], "left").drop("__salt")
