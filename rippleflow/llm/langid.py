@@ -6,10 +6,11 @@ by its n-grams: of four characters if any of them is known, else of three, two,
 count as characters. The language with the largest sum over all words of the whole text wins, and
 the score is its share of probability against the others.
 
-Sizes: every counted word and n-gram is scored. While all counts fit in ``MODEL_CELLS`` numbers, the
-executors get them packed as sorted hashes with one number per language. Beyond that nothing is
-gathered: words of texts are joined to the count tables and summed per text, with equal results.
-Units are told apart by 64-bit hashes.
+Sizes: every counted word and n-gram is scored, and nothing that grows with the corpus is gathered.
+The most frequent words, as many as fit in ``HEAD_BYTES``, are shipped to the executors and add up
+to most of a text where it lies. The rarer and unseen words of a text are handed on as (text, word,
+count), meet the count tables in joins, and are added to the text's sum. Texts are told apart by 96 bits
+of hashes, words of the shipped part by 64.
 
 Defined cases: a missing text, or one without a letter, is ``und`` with score 0, and so is every
 text if there is nothing to learn from; ties go to the language that sorts first; repeated rows
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rippleflow.llm.common import arrow_schema, map_batches, steps
+from rippleflow.llm.common import arrow_schema, join_sized, map_batches, staged, steps
 
 UNKNOWN = "und"
-#: Numbers of a packed model (128 MB): a hash and one per language for each word and n-gram.
-MODEL_CELLS = 16_000_000
+#: Size of the shipped part: a hash and one number per language for each word.
+HEAD_BYTES = 12_000_000
+#: Bins of word counts per octave.
+BINS = 8
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 #: Distinct counters that a task holds before it hands them on.
@@ -138,11 +141,6 @@ class Packed:
     def __len__(self) -> int:
         return len(self.keys)
 
-    def get(self, unit: str) -> list[float] | None:
-        key = np.uint64(unit_key(unit))
-        at = self.keys.searchsorted(key)
-        return self.scores[at].tolist() if at < len(self.keys) and self.keys[at] == key else None
-
     def find(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Whether each unit is known, and its row."""
         wanted = np.fromiter(map(unit_key, units), np.uint64, len(units))
@@ -151,7 +149,7 @@ class Packed:
 
 
 def gathered(wide: DataFrame, floors: list[float]) -> Packed:
-    """The rows of (unit, n0, n1, ...) with their scores."""
+    """The rows of (word, n0, n1, ...) with their scores."""
     layout = arrow_schema("part binary")
 
     def run(batches):
@@ -168,56 +166,38 @@ def gathered(wide: DataFrame, floors: list[float]) -> Packed:
     return Packed(rows[:, 0].copy(), np.log(rows[:, 1:] + SMOOTHING) - np.array(floors))
 
 
-@dataclass
-class Model:
-    """Scores per language of words and, by length, of n-grams."""
-
-    languages: list[str]
-    words: dict[str, list[float]] | Packed
-    grams: dict[int, dict[str, list[float]] | Packed]
-
-    def word(self, word: str) -> list[float]:
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        for order in ORDERS:
-            scores = map(self.grams[order].get, grams_of(word, order))
-            found = [x for x in scores if x is not None]
-            if found:
-                # an n-gram shares its characters with its neighbours
-                return [sum(scores) / order for scores in zip(*found)]
-        return [0.0] * len(self.languages)
-
-    def token(self, token: str) -> list[float]:
-        """The sum over a token's words, and their number."""
-        words = words_of(token)
-        if len(words) == 1:
-            return [*self.word(words[0]), 1.0]
-        return [*map(sum, zip([0.0] * len(self.languages), *map(self.word, words))),
-                float(len(words))]
+def most_frequent(wide: DataFrame, languages: list[str], units: int) -> DataFrame:
+    """Rows of (word, n0, ...) of the largest counts, at most ``units`` of them, by whole bins."""
+    total = sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0))
+    bin_of = F.floor(F.log2(total) * BINS)
+    left, least = units, None
+    for r in sorted(wide.groupBy(bin_of.alias("b")).count().collect(), reverse=True):
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r["b"]
+    return wide.where("false") if least is None else wide.where(bin_of >= least)
 
 
 @dataclass
-class CountTables:
-    """A model whose counts stay in tables: (word, n0, ...), (gram, n0, ...), and what the scores take
-    off the logarithms, by n-gram length (0: words)."""
+class Model:
+    """Scores of the most frequent words, the count tables (word, n0, ...) and (gram, n0, ...), and
+    what the scores take off the logarithms, by n-gram length (0: words)."""
 
     languages: list[str]
-    words: DataFrame
-    grams: DataFrame
-    floors: dict[int, list[float]]
+    head: Packed
+    words: DataFrame | None = None
+    grams: DataFrame | None = None
+    floors: dict[int, list[float]] | None = None
 
 
-def train(labelled: DataFrame, cells: int = MODEL_CELLS) -> Model | CountTables:
+def train(labelled: DataFrame, head_bytes: int = HEAD_BYTES) -> Model:
     """Learn from the columns ``lang`` and ``text`` of all rows."""
-    from rippleflow.llm.common import staged
-
     counts = staged(count_words(labelled), "word-counts")
     totals = {(r["lang"], 0): r["n"] for r in
               counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(lang for lang, _ in totals)
     if not languages:
-        return Model([], {}, {order: {} for order in ORDERS})
+        return Model([], Packed(np.empty(0, np.uint64), np.empty((0, 0))))
     gram_counts = staged(count_grams(counts), "gram-counts")
     totals |= {(r["lang"], r["k"]): r["n"] for r in gram_counts.groupBy(
         "lang", F.length("gram").alias("k")).agg(F.sum("n").alias("n")).collect()}
@@ -227,148 +207,159 @@ def train(labelled: DataFrame, cells: int = MODEL_CELLS) -> Model | CountTables:
         F.count("*").alias("n")).collect()} | {0: words.count()}
     floors = {k: [math.log(totals.get((lang, k), 1) + SMOOTHING * kinds.get(k, 0)) for lang in languages]
               for k in (0, *ORDERS)}
-    if sum(kinds.values()) * (len(languages) + 1) > cells:
-        return CountTables(languages, words, grams, floors)
-    return Model(languages, gathered(words, floors[0]), {
-        order: gathered(grams.where(F.length("gram") == order), floors[order]) for order in ORDERS})
+    units = head_bytes // (8 * (len(languages) + 1))
+    return Model(languages, gathered(most_frequent(words, languages, units), floors[0]),
+                 words, grams, floors)
 
 
 class TokenScores(dict):
-    """Rows of a score table by token, filled as tokens come."""
+    """Rows of a score table by token, filled as tokens come: a score per language, the number of
+    words, and the number of words left to the joins."""
 
-    def __init__(self, model: Model):
+    def __init__(self, languages: int, head: Packed):
         super().__init__()
-        self.model = model
-        self.table = np.zeros((1024, len(model.languages) + 1))
-
-    def __missing__(self, token: str) -> int:
-        row = len(self)
-        if row == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[row] = self.model.token(token)
-        self[token] = row
-        return row
+        self.languages, self.head = languages, head
+        self.table = np.zeros((1024, languages + 2))
+        self.rare: dict[int, list[str]] = {}
 
     def prepare(self, texts: list[str | None]) -> None:
-        """Look up the new tokens of several texts at once, where they are one known word."""
+        """Look up the new tokens of several texts at once."""
         if len(self) > REMEMBERED:
             self.clear()
-        if not isinstance(self.model.words, Packed):
-            return
+            self.rare.clear()
         new = [t for t in {t for text in texts for t in (text or "").split()} if t not in self]
-        single = [(t, w[0]) for t in new if len(w := words_of(t)) == 1]
-        known, at = self.model.words.find([w for _, w in single])
-        first, number = len(self), int(known.sum())
-        while len(self.table) < first + number:
+        split = [words_of(t) for t in new]
+        known, at = self.head.find([w for words in split for w in words])
+        first, place = len(self), 0
+        while len(self.table) < first + len(new):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[first:first + number, :-1] = self.model.words.scores[at[known]]
-        self.table[first:first + number, -1] = 1
-        self.update(zip((single[k][0] for k in np.flatnonzero(known)), range(first, first + number)))
-
-    def text(self, text: str | None) -> tuple[str, float]:
+        self.table[first:first + len(new)] = 0
+        singles, rows = [], []
+        for row, words in enumerate(split, first):
+            if len(words) == 1 and known[place]:
+                singles.append(row)
+                rows.append(at[place])
+            else:
+                for k, word in enumerate(words, place):
+                    if known[k]:
+                        self.table[row, :-2] += self.head.scores[at[k]]
+                    else:
+                        self.rare.setdefault(row, []).append(word)
+                self.table[row, -2:] = len(words), len(self.rare.get(row, ()))
+            place += len(words)
+        if singles:
+            self.table[singles, :-2] = self.head.scores[rows]
+            self.table[singles, -2] = 1
+        self.update(zip(new, range(first, first + len(new))))
+
+    def text(self, text: str | None) -> tuple[np.ndarray, Counter]:
+        """The sums over a text's tokens, and its rare words."""
         tokens = (text or "").split()
         rows = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        total = self.table[rows].sum(axis=0)
-        languages = self.model.languages
-        if not languages or not total[-1]:
-            return UNKNOWN, 0.0
-        best = int(np.argmax(total[:-1]))
-        return languages[best], float(1 / np.exp(total[:-1] - total[best]).sum())
+        picked = self.table[rows]
+        rare: Counter = Counter()
+        if picked[:, -1].any():
+            for row in rows[picked[:, -1] > 0].tolist():
+                rare.update(self.rare[row])
+        return picked.sum(axis=0), rare
 
 
 _SCORES: dict[int, TokenScores] = {}
 
 
-def scores_of(shared) -> TokenScores:
+def scores_of(shared, languages: int) -> TokenScores:
     """One table per process and model, so that it serves all tasks that run there."""
-    if shared.value is not getattr(_SCORES.get(0), "model", None):
-        _SCORES[0] = TokenScores(shared.value)
+    if shared.value is not getattr(_SCORES.get(0), "head", None):
+        _SCORES[0] = TokenScores(languages, shared.value)
     return _SCORES[0]
 
 
-def predict(docs: DataFrame, model: Model | CountTables) -> DataFrame:
-    """All input columns with ``lang_pred`` and ``score``, from the texts alone."""
-    if isinstance(model, CountTables):
-        return predict_joined(docs, model)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    own = ("lang_pred", "score", "text")
-    rest = [c for c in docs.columns if c.lower() not in own]
-    kept = docs.select(*[F.col(f"`{c}`") for c in rest], "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-
-    def run(batch: pa.RecordBatch) -> dict:
-        state = scores_of(shared)
-        texts = batch.column(len(rest)).to_pylist()
-        state.prepare(texts)
-        got = [state.text(t) for t in texts]
-        return dict(zip(kept_names, batch.columns)) | {
-            "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
+KEYS = ("__k1", "__k2")
 
-    kept_names = kept.columns
-    return map_batches(kept, run, schema + ", lang_pred string, score double")
 
+def text_keys() -> list[Column]:
+    return [F.xxhash64("text").alias(KEYS[0]), F.hash("text").alias(KEYS[1])]
 
-def words_per_text(docs: DataFrame) -> DataFrame:
-    """(text_hash, word, n) of each distinct text."""
-    layout = arrow_schema("text_hash long, word string, n long")
 
-    def run(batches):
-        for batch in (part for whole in batches for part in steps(whole)):
-            rows = [(key, word, n) for key, text in zip(*(c.to_pylist() for c in batch.columns))
-                    for word, n in Counter(w for t in (text or "").split()
-                                           for w in words_of(t)).items()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else ([], [], []), layout)],
-                schema=layout)
+def first_sums(docs: DataFrame, model: Model) -> DataFrame:
+    """(keys, n, s0, ..., rare): what the shipped words add up to, and the other words with counts."""
+    numbers = range(len(model.languages))
+    shared = docs.sparkSession.sparkContext.broadcast(model.head)
+    languages = len(model.languages)
+    schema = f"{KEYS[0]} long, {KEYS[1]} int, n long, " + "".join(
+        f"s{i} double, " for i in numbers) + "rare array<struct<word:string,n:long>>"
 
-    return docs.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, "text_hash long, word string, n long").groupBy("text_hash", "word").agg(
-        F.max("n").alias("n"))
+    def run(batch: pa.RecordBatch) -> dict:
+        state = scores_of(shared, languages)
+        texts = batch.column(2).to_pylist()
+        state.prepare(texts)
+        got = [state.text(t) for t in texts]
+        return {KEYS[0]: batch.column(0), KEYS[1]: batch.column(1), "n": [int(g[0][-2]) for g in got],
+                "rare": [[{"word": w, "n": n} for w, n in g[1].items()] for g in got],
+                **{f"s{i}": [float(g[0][i]) for g in got] for i in numbers}}
 
+    return map_batches(docs.select(*text_keys(), "text"), run, schema)
 
-def predict_joined(docs: DataFrame, model: CountTables) -> DataFrame:
-    """As ``predict``, by joins with the count tables."""
-    from rippleflow.llm.common import join_sized, staged
 
-    numbers = range(len(model.languages))
+def scored(table: DataFrame, unit: str, floors: list[float]) -> DataFrame:
+    return table.select(unit, *[
+        (F.log(F.col(f"n{i}") + SMOOTHING) - floor).alias(f"s{i}") for i, floor in enumerate(floors)])
 
-    def scored(table: DataFrame, floors: list[float]) -> list[Column]:
-        return [(F.log(table[f"n{i}"] + SMOOTHING) - floors[i]).alias(f"s{i}") for i in numbers]
 
-    tokens = staged(words_per_text(docs), "text-words")
-    words = model.words.select("word", *scored(model.words, model.floors[0]))
-    unseen = tokens.select("word").distinct().join(words.select("word"), "word", "left_anti")
+def backed_off(words: DataFrame, model: Model) -> DataFrame:
+    """(word, s0, ...) of words that were not counted, from the longest n-grams of which any was."""
+    found, numbers = None, range(len(model.languages))
     layout = arrow_schema("word string, gram string")
-
-    def split(batches):
-        for batch in batches:
-            pairs = [(w, g) for w in batch.column(0).to_pylist() for k in ORDERS for g in grams_of(w, k)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.string()) for c in (zip(*pairs) if pairs else ([], []))], schema=layout)
-
-    grams = None
     for order in ORDERS:
-        part = model.grams.where(F.length("gram") == order)
-        part = part.select("gram", *scored(part, model.floors[order]))
-        grams = part if grams is None else grams.union(part)
-    met = join_sized(unseen.mapInArrow(split, "word string, gram string"), grams, "gram").where("s0 IS NOT NULL")
-    # an n-gram shares its characters with its neighbours
-    met = met.groupBy("word", F.length("gram").alias("k")).agg(
-        *[(F.sum(f"s{i}") / F.col("k")).alias(f"s{i}") for i in numbers])
-    best = met.groupBy("word").agg(F.max_by(F.struct(*[f"s{i}" for i in numbers]), "k").alias("s"))
-    every = staged(words.union(best.select("word", "s.*")), "word-scores")
-    sums = join_sized(tokens, every, "word").groupBy("text_hash").agg(
-        *[F.sum(F.col("n") * F.coalesce(f"s{i}", F.lit(0.0))).alias(f"s{i}") for i in numbers])
+        def split(batches, order=order):
+            for batch in batches:
+                pairs = [(w, g) for w in batch.column(0).to_pylist() for g in grams_of(w, order)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.string()) for c in (zip(*pairs) if pairs else ([], []))],
+                    schema=layout)
+
+        table = scored(model.grams.where(F.length("gram") == order), "gram", model.floors[order])
+        met = join_sized(words.mapInArrow(split, "word string, gram string"), table, "gram", salts=4)
+        # an n-gram shares its characters with its neighbours
+        part = staged(met.where("s0 IS NOT NULL").groupBy("word").agg(
+            *[(F.sum(f"s{i}") / order).alias(f"s{i}") for i in numbers]), "backed-off")
+        found = part if found is None else found.unionByName(part)
+        words = words.join(part.select("word"), "word", "left_anti")
+    return found
+
+
+def rare_sums(sums: DataFrame, model: Model) -> DataFrame:
+    """(keys, r0, ...): what the words outside the shipped part add to each text."""
+    numbers = range(len(model.languages))
+    rare = staged(sums.select(*KEYS, F.explode("rare").alias("r")).groupBy(
+        *KEYS, F.col("r.word").alias("word")).agg(F.max("r.n").alias("n")), "rare-words")
+    wanted = staged(rare.select("word").distinct(), "wanted-words")
+    counted = scored(model.words, "word", model.floors[0])
+    unseen = staged(wanted.join(counted.select("word"), "word", "left_anti"), "unseen-words")
+    # a counted word that was not shipped is rare; an unseen one may be in any share of the texts
+    met = rare.join(counted, "word").unionByName(
+        join_sized(rare, backed_off(unseen, model), "word", salts=8).where("s0 IS NOT NULL"))
+    return met.groupBy(*KEYS).agg(*[F.sum(F.col("n") * F.col(f"s{i}")).alias(f"r{i}") for i in numbers])
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """All input columns with ``lang_pred`` and ``score``, from the texts alone."""
+    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "text")]
+    out = docs.select(*[F.col(f"`{c}`") for c in rest], "text")
+    if not model.languages:
+        return out.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    numbers = range(len(model.languages))
+    sums = staged(first_sums(docs, model), "text-sums")
+    texts = sums.groupBy(*KEYS).agg(F.max("n").alias("n"), *[F.max(f"s{i}").alias(f"s{i}") for i in numbers])
+    texts = texts.join(rare_sums(sums, model), list(KEYS), "left").select(*KEYS, "n", *[
+        (F.col(f"s{i}") + F.coalesce(f"r{i}", F.lit(0.0))).alias(f"s{i}") for i in numbers])
     top = F.greatest(*[f"s{i}" for i in numbers], F.lit(float("-inf")))
     name = F.coalesce(*[F.when(F.col(f"s{i}") == top, F.lit(lang))
                         for i, lang in enumerate(model.languages)])
     share = F.lit(1.0) / sum(F.exp(F.col(f"s{i}") - top) for i in numbers)
-    found = staged(sums.select(F.col("text_hash").alias("__text"), name.alias("lang_pred"),
-                               share.alias("score")), "text-languages")
-    rest = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "text")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in rest], "text", F.xxhash64("text").alias("__text"))
-    joined = join_sized(keyed, found, "__text")
+    found = staged(texts.where("n > 0").select(*KEYS, name.alias("lang_pred"), share.alias("score")),
+                   "text-languages")
+    joined = join_sized(out.select("*", *text_keys()), found, list(KEYS), salts=8)
     return joined.select(
         *[F.col(f"`{c}`") for c in rest], "text",
         F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"),
