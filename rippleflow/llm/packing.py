@@ -7,9 +7,10 @@
    equal cardinality, and each is rounded up to the longest of its group. The few rounded sizes
    are packed by a linear program over configurations (sets of sizes that fit one sequence),
    solved by column generation: a knapsack proposes configurations while one improves. Whole
-   parts of the solution are taken; the rest, a few sequences, is filled by best fit.
-3. The actual lengths take the places of the rounded ones, longest first, which opens room; small
-   lengths are then added by best fit, a new sequence only when none has room.
+   parts of the solution are taken.
+3. The actual lengths take the places of the rounded ones, each as long as the later places of its
+   sequence allow; the small lengths, and the large ones that no whole configuration took, are then
+   added by best fit, a new sequence only when none has room.
 4. A document's rank among those of its length gives its place: ranks come from counts per bucket
    and local row numbers, so no length is gathered into one task.
 
@@ -39,11 +40,12 @@ from pyspark.sql.window import Window
 from rippleflow.llm.common import arrow_schema, join_sized, staged
 
 END = 2
-GROUPS = 48
+GROUPS = 128
 #: Lengths above this share of a sequence are large.
 LARGE = 1 / 8
 CACHED_WORDS = 200_000
-COMPARED_WORDS = 5_000
+#: Below this character both libraries part texts alike (a test goes through all of them).
+ALIKE = "\u0250"
 # Fixed value: how byte-level tokenizers of this kind part a text before merging.
 WORD_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -55,8 +57,9 @@ class Tokens:
 
     Byte-level merges never cross a lone space before a word, so words with their leading space are
     encoded once and remembered. New words go through ``tiktoken``, which merges three times
-    faster, with the ranks of the same file; the first ones of each process are compared with
-    ``tokenizers``, which does all the work where the two differ.
+    faster, with the ranks of the same file, if all their characters are below ``ALIKE``: Latin
+    letters and signs of which the Unicode tables of both libraries hold the same. Other words go
+    through ``tokenizers``, and so does, whole, a text with the string of a special token.
     """
 
     SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -65,11 +68,11 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.words: dict[str, bytes] = {}
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.fast, self.compared = byte_merges(self.tokenizer), 0
+        self.fast = byte_merges(self.tokenizer)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -80,11 +83,8 @@ class Tokens:
         text = " " + "\n ".join(words)
         if len(self.line) != 1 or text.count("\n") != len(words) - 1:
             return self.encode([" " + w for w in words])
-        if self.fast is None or self.compared < COMPARED_WORDS:
+        if self.fast is None or (not text.isascii() and max(text) >= ALIKE):
             ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-            self.compared += len(words)
-            if self.fast is not None and self.fast.encode_ordinary(text) != ids:
-                self.fast = None
         else:
             ids = self.fast.encode_ordinary(text)
         ids = np.array(ids, self.kind)
@@ -96,6 +96,11 @@ class Tokens:
         return [data[size * a:size * b] for a, b in zip(starts, ends)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        marked = [any(s in t for s in self.special) for t in texts]
+        if any(marked):
+            whole = iter(self.encode([t for t, m in zip(texts, marked) if m]))
+            rest = iter(self([t for t, m in zip(texts, marked) if not m]))
+            return [np.frombuffer(next(whole), self.kind) if m else next(rest) for m in marked]
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
         known = self.words
@@ -108,8 +113,9 @@ class Tokens:
                     split[i] = self.SPACE.split(texts[i])
             new = self.unknown(split)
         broken = [w for w in new if "\n" in w]
-        whole = list(new.difference(broken))
-        for names in (whole, broken):
+        foreign = [w for w in new.difference(broken) if not w.isascii() and max(w) >= ALIKE]
+        whole = list(new.difference(broken, foreign))
+        for names in (whole, foreign, broken):
             known.update(zip(names, self.encode_words(names)))
         heads = self.encode([words[0] for words in split])
         return [np.frombuffer(first + b"".join(map(known.__getitem__, words[1:])), self.kind)
@@ -189,39 +195,24 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS,
     classes = [Class(full, Counter({capacity: 1}))] if full else []
     big = {n: c for n, c in histogram.items() if large * capacity < n < capacity and c}
     small = {n: c for n, c in histogram.items() if n <= large * capacity and c}
-    opened = substitute(grouped(big, groups), capacity)
-    return classes + reopened(best_fit(opened, small, capacity), capacity)
+    opened, left = substitute(grouped(big, groups), big, capacity)
+    return classes + best_fit(opened, Counter(left) + Counter(small), capacity)
 
 
-def reopened(classes: list[Class], capacity: int, room: int = 8) -> list[Class]:
-    """Empty the sequences with much room left and pack their contents by best fit, if that
-    takes fewer."""
-    open_, closed, pool = [], [], Counter()
-    for c in classes:
-        slack = capacity - sum(n * k for n, k in c.lengths.items())
-        (open_ if slack > room else closed).append(c)
-    for c in open_:
-        for n, k in c.lengths.items():
-            pool[n] += k * c.count
-    again = best_fit([], pool, capacity)
-    better = sum(c.count for c in again) < sum(c.count for c in open_)
-    return closed + (again if better else open_)
-
-
-def grouped(big: dict[int, int], groups: int) -> list[tuple[int, list[list[int]]]]:
-    """(rounded size, [[length, count], ...] longest first) of groups of equal cardinality."""
-    total = sum(big.values())
-    out, room = [], 0
-    per = -(-total // groups) if total else 0
+def grouped(big: dict[int, int], groups: int) -> dict[int, int]:
+    """How many lengths take each rounded size: groups of equal cardinality, longest first, rounded
+    up to the longest of each."""
+    per = -(-sum(big.values()) // groups) if big else 0
+    out: Counter = Counter()
+    size = room = 0
     for length in sorted(big, reverse=True):
         left = big[length]
         while left:
             if not room:
-                out.append((length, []))
-                room = per
-            take = min(left, room)
-            out[-1][1].append([length, take])
-            left, room = left - take, room - take
+                size, room = length, per
+            used = min(left, room)
+            out[size] += used
+            left, room = left - used, room - used
     return out
 
 
@@ -233,101 +224,108 @@ def configurations(sizes: list[int], counts: list[int], capacity: int
     far, and the knapsack over the sizes' prices proposes the next one.
     """
     k = len(sizes)
-    basis = np.zeros((k, k))
-    for i, size in enumerate(sizes):
-        basis[i, i] = capacity // size
+    basis = np.diag([float(capacity // size) for size in sizes])
+    inverse = np.diag(1 / np.diag(basis))
     demand = np.array(counts, float)
-    amount = demand / np.diag(basis)
-    for _ in range(60 * k):
-        price = np.linalg.solve(basis.T, np.ones(k))
+    amount = inverse @ demand
+    for turn in range(1, 60 * k):
+        price = inverse.sum(axis=0)
         best, column = knapsack(sizes, price, capacity)
         if best <= 1 + 1e-9:
             break
-        entering = np.linalg.solve(basis, column)
+        entering = inverse @ column
         ratios = np.where(entering > 1e-9, amount / np.where(entering > 1e-9, entering, 1), np.inf)
         leave = int(np.argmin(ratios))
         step = ratios[leave]
         amount = np.maximum(amount - step * entering, 0)
         amount[leave] = step
         basis[:, leave] = column
+        if turn % 250:
+            row = inverse[leave] / entering[leave]
+            inverse -= np.outer(entering, row)
+            inverse[leave] = row
+        else:  # rounding errors add up
+            inverse = np.linalg.inv(basis)
+            amount = np.maximum(inverse @ demand, 0)
     return [(tuple(int(round(x)) for x in basis[:, i]), float(amount[i])) for i in range(k)
             if amount[i] > 1e-9]
 
 
 def knapsack(sizes: list[int], price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The dearest multiset of sizes that fits, by dynamic programming over the room."""
+    """The dearest multiset of sizes that fits, by dynamic programming over the room, all rooms at
+    once; a size is tried as often as it can fit."""
     value = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1)
-    least, lengths = min(sizes), np.array(sizes)
-    for room in range(least, capacity + 1):
-        value[room] = value[room - 1]
-        gains = np.where(lengths <= room, value[room - lengths] + price, -1.0)
-        i = int(np.argmax(gains))
-        if gains[i] > value[room] + 1e-12:
-            value[room], choice[room] = gains[i], i
+    for i, (size, gain) in enumerate(zip(sizes, price)):
+        if gain <= 0:
+            continue
+        for _ in range(capacity // size):
+            new = value[:-size] + gain
+            better = new > value[size:] + 1e-12
+            if not better.any():
+                break
+            value[size:][better] = new[better]
+            choice[size:][better] = i
+    # value[room] holds for sums of exactly the chosen sizes or less, so follow the choices
     column, room = np.zeros(len(sizes)), capacity
-    while room >= least:
-        if choice[room] < 0:
-            room -= 1
-        else:
-            column[choice[room]] += 1
-            room -= sizes[choice[room]]
-    return float(value[capacity]), column
-
-
-def substitute(groups: list[tuple[int, list[list[int]]]], capacity: int) -> list[Class]:
-    """Sequences of the configurations with actual lengths in the places of the rounded ones."""
-    merged: dict[int, list[list[int]]] = defaultdict(list)
-    for size, members in groups:
-        merged[size] += members
-    sizes = sorted(merged, reverse=True)
+    while choice[room] >= 0:
+        column[choice[room]] += 1
+        room -= sizes[choice[room]]
+    return float(column @ price), column
+
+
+class Pool:
+    """Lengths with their counts; the longest one up to a limit is found by links to lower ones."""
+
+    def __init__(self, lengths: dict[int, int], capacity: int):
+        self.count = [lengths.get(n, 0) for n in range(capacity + 1)]
+        self.link = list(range(-1, capacity))
+
+    def longest(self, limit: int) -> int:
+        """0 if there is none."""
+        passed, at = [], limit
+        while at and not self.count[at]:
+            passed.append(at)
+            at = self.link[at]
+        for n in passed:  # shorten the way for the next search
+            self.link[n] = at
+        return at
+
+
+def substitute(rounded: dict[int, int], lengths: dict[int, int], capacity: int
+               ) -> tuple[list[Class], dict[int, int]]:
+    """Sequences of the configurations, as often as whole, with actual lengths in the places of the
+    rounded ones; and the lengths that are left."""
+    sizes = sorted(rounded, reverse=True)
     if not sizes:
-        return []
-    counts = [sum(c for _, c in merged[s]) for s in sizes]
-    classes = []
-    for column, amount in configurations(sizes, counts, capacity):
-        classes += fill_places(column, int(amount + 1e-6), sizes, merged)
-    rest = {}
-    for members in merged.values():
-        for length, count in members:
-            rest[length] = rest.get(length, 0) + count
-    return best_fit(classes, rest, capacity)
-
-
-def take(members: list[list[int]], count: int) -> list[tuple[int, int]]:
-    """Remove up to ``count`` members, longest first, as (length, number) runs."""
-    runs = []
-    while count and members:
-        use = min(members[0][1], count)
-        runs.append((members[0][0], use))
-        members[0][1] -= use
-        count -= use
-        if not members[0][1]:
-            members.pop(0)
-    return runs
-
-
-def fill_places(column: tuple[int, ...], count: int, sizes: list[int],
-                merged: dict[int, list[list[int]]]) -> list[Class]:
-    """``count`` sequences of one configuration: every place takes a run of its group's longest
-    members, and the sequences fall into classes where a run ends."""
-    places = [take(merged[size], count) for size, copies in zip(sizes, column)
-              for _ in range(copies)]
-    edges = {0}
-    for runs in places:
-        edges.update(np.cumsum([n for _, n in runs]).tolist())
-    edges = sorted(edges)
-    at = [[0, 0] for _ in places]  # run, sequences of it that are used
-    out = []
-    for a, b in zip(edges, edges[1:]):
-        lengths = Counter()
-        for runs, state in zip(places, at):
-            if state[0] < len(runs):
-                lengths[runs[state[0]][0]] += 1
-                state[1] += b - a
-                if state[1] == runs[state[0]][1]:
-                    state[:] = [state[0] + 1, 0]
-        out.append(Class(b - a, lengths))
+        return [], {}
+    pool, classes = Pool(lengths, capacity), []
+    columns = configurations(sizes, [rounded[s] for s in sizes], capacity)
+    for column, amount in sorted(columns, reverse=True):
+        places = [s for s, copies in zip(sizes, column) for _ in range(copies)]
+        classes += fill_places(places, int(amount + 1e-6), pool, capacity)
+    return classes, {n: c for n, c in enumerate(pool.count) if c}
+
+
+def fill_places(places: list[int], count: int, pool: Pool, capacity: int) -> list[Class]:
+    """``count`` sequences of one configuration. Every place takes the longest length that leaves
+    the later places their rounded sizes, so room that a shorter length leaves is used at once;
+    sequences fall into classes where a length runs out."""
+    after = [sum(places[i + 1:]) for i in range(len(places))]
+    open_, out = [(count, ())], []
+    while open_:
+        n, held = open_.pop()
+        if not n:
+            continue
+        if len(held) == len(places):
+            if any(held):
+                out.append(Class(n, Counter(x for x in held if x)))
+            continue
+        length = pool.longest(capacity - sum(held) - after[len(held)])
+        used = min(n, pool.count[length]) if length else n
+        if length:
+            pool.count[length] -= used
+        open_ += [(n - used, held), (used, (*held, length))]
     return out
 
 
@@ -393,7 +391,8 @@ def ranked(pieces: DataFrame, per_bucket: int) -> DataFrame:
     """
     rows = pieces.select("*", F.col("_metadata.file_name").alias("__file"),
                          F.col("_metadata.row_index").alias("__row"))
-    buckets = 1 + pieces.count() // per_bucket
+    least = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(least, 1 + pieces.count() // per_bucket)
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__file", "__row"), F.lit(buckets)))
     earlier = rows.groupBy("length", "__bucket").agg(F.count("*").alias("__n")).select(
         "length", "__bucket", F.coalesce(F.sum("__n").over(
