@@ -8,8 +8,8 @@ the score is its share of probability against the others.
 
 Sizes: every counted word and n-gram is scored, and nothing that grows with the corpus is gathered.
 The most frequent words, as many as fit in ``HEAD_BYTES``, are shipped to the executors and add up
-to most of a text where it lies. The rarer and unseen words of a text are handed on as (text, word,
-count), meet the count tables in joins, and are added to the text's sum. Texts are told apart by 96 bits
+to most of a text where it lies. The rarer and unseen words of a text are handed on as (text, word),
+meet the count tables in a join, and are added to the text's sum. Texts are told apart by 96 bits
 of hashes, words of the shipped part by 64.
 
 Defined cases: a missing text, or one without a letter, is ``und`` with score 0, and so is every
@@ -23,6 +23,7 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from rippleflow.llm.common import arrow_schema, join_sized, map_batches, staged,
 
 UNKNOWN = "und"
 #: Size of the shipped part: a hash and one number per language for each word.
-HEAD_BYTES = 12_000_000
+HEAD_BYTES = 32_000_000
 #: Bins of word counts per octave.
 BINS = 8
 ORDERS = (4, 3, 2, 1)
@@ -41,7 +42,7 @@ SMOOTHING = 0.5
 #: Distinct counters that a task holds before it hands them on.
 HELD = 80_000
 #: Scored tokens that a task remembers.
-REMEMBERED = 80_000
+REMEMBERED = 160_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -252,16 +253,13 @@ class TokenScores(dict):
             self.table[singles, -2] = 1
         self.update(zip(new, range(first, first + len(new))))
 
-    def text(self, text: str | None) -> tuple[np.ndarray, Counter]:
-        """The sums over a text's tokens, and its rare words."""
+    def text(self, text: str | None) -> tuple[np.ndarray, list[str]]:
+        """The sums over a text's tokens, and its rare words, as often as they stand there."""
         tokens = (text or "").split()
         rows = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
         picked = self.table[rows]
-        rare: Counter = Counter()
-        if picked[:, -1].any():
-            for row in rows[picked[:, -1] > 0].tolist():
-                rare.update(self.rare[row])
-        return picked.sum(axis=0), rare
+        rare = [self.rare[row] for row in rows[picked[:, -1] > 0].tolist()]
+        return picked.sum(axis=0), list(chain.from_iterable(rare))
 
 
 _SCORES: dict[int, TokenScores] = {}
@@ -287,7 +285,7 @@ def first_sums(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model.head)
     languages = len(model.languages)
     schema = f"{KEYS[0]} long, {KEYS[1]} int, n long, " + "".join(
-        f"s{i} double, " for i in numbers) + "rare array<struct<word:string,n:long>>"
+        f"s{i} double, " for i in numbers) + "rare array<string>"
 
     def run(batch: pa.RecordBatch) -> dict:
         state = scores_of(shared, languages)
@@ -295,7 +293,7 @@ def first_sums(docs: DataFrame, model: Model) -> DataFrame:
         state.prepare(texts)
         got = [state.text(t) for t in texts]
         return {KEYS[0]: batch.column(0), KEYS[1]: batch.column(1), "n": [int(g[0][-2]) for g in got],
-                "rare": [[{"word": w, "n": n} for w, n in g[1].items()] for g in got],
+                "rare": [g[1] for g in got],
                 **{f"s{i}": [float(g[0][i]) for g in got] for i in numbers}}
 
     return map_batches(docs.select(*text_keys(), "text"), run, schema)
@@ -329,17 +327,17 @@ def backed_off(words: DataFrame, model: Model) -> DataFrame:
 
 
 def rare_sums(sums: DataFrame, model: Model) -> DataFrame:
-    """(keys, r0, ...): what the words outside the shipped part add to each text."""
+    """(keys, r0, ...): what the words outside the shipped part add to all copies of each text."""
     numbers = range(len(model.languages))
-    rare = staged(sums.select(*KEYS, F.explode("rare").alias("r")).groupBy(
-        *KEYS, F.col("r.word").alias("word")).agg(F.max("r.n").alias("n")), "rare-words")
+    rare = sums.select(*KEYS, F.explode("rare").alias("word"))
     wanted = staged(rare.select("word").distinct(), "wanted-words")
-    counted = scored(model.words, "word", model.floors[0])
-    unseen = staged(wanted.join(counted.select("word"), "word", "left_anti"), "unseen-words")
-    # a counted word that was not shipped is rare; an unseen one may be in any share of the texts
-    met = rare.join(counted, "word").unionByName(
-        join_sized(rare, backed_off(unseen, model), "word", salts=8).where("s0 IS NOT NULL"))
-    return met.groupBy(*KEYS).agg(*[F.sum(F.col("n") * F.col(f"s{i}")).alias(f"r{i}") for i in numbers])
+    counted = wanted.join(scored(model.words, "word", model.floors[0]), "word", "left")
+    counted = staged(counted, "counted-words")
+    unseen = counted.where("s0 IS NULL").select("word")
+    scores = counted.where("s0 IS NOT NULL").unionByName(backed_off(unseen, model))
+    # a word that was counted but not shipped is rare; adaptive execution splits a hot unseen one
+    return rare.join(scores, "word").groupBy(*KEYS).agg(
+        *[F.sum(f"s{i}").alias(f"r{i}") for i in numbers])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -350,9 +348,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         return out.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
     numbers = range(len(model.languages))
     sums = staged(first_sums(docs, model), "text-sums")
-    texts = sums.groupBy(*KEYS).agg(F.max("n").alias("n"), *[F.max(f"s{i}").alias(f"s{i}") for i in numbers])
+    texts = sums.groupBy(*KEYS).agg(
+        F.max("n").alias("n"), F.count("*").alias("copies"),
+        *[F.max(f"s{i}").alias(f"s{i}") for i in numbers])
     texts = texts.join(rare_sums(sums, model), list(KEYS), "left").select(*KEYS, "n", *[
-        (F.col(f"s{i}") + F.coalesce(f"r{i}", F.lit(0.0))).alias(f"s{i}") for i in numbers])
+        (F.col(f"s{i}") + F.coalesce(F.col(f"r{i}") / F.col("copies"), F.lit(0.0))).alias(f"s{i}")
+        for i in numbers])
     top = F.greatest(*[f"s{i}" for i in numbers], F.lit(float("-inf")))
     name = F.coalesce(*[F.when(F.col(f"s{i}") == top, F.lit(lang))
                         for i, lang in enumerate(model.languages)])
