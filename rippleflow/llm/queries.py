@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +17,8 @@ from rippleflow.llm.common import documents, placed
 #: Mixing: weights of the sources; any other source has weight 1.
 SOURCE_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 2.0, "src3": 0.5}
 MIX_SEED = 17
-#: The key of the pseudonyms unless the session sets one.
-PII_KEY_SETTING, PII_KEY = "rippleflow.pii.key", "change-me"
+#: The session setting that holds the key of the pseudonyms.
+PII_KEY_SETTING = "rippleflow.pii.key"
 SHARDS = 8
 CAPACITY = 1024
 #: What decides that a document is toxic.
@@ -32,7 +33,12 @@ def vocabulary_path() -> str:
 
 
 def pii_key(spark: SparkSession) -> str:
-    return spark.conf.get(PII_KEY_SETTING, PII_KEY)
+    """The session's key; a session without one gets a random key, which nobody can look up."""
+    key = spark.conf.get(PII_KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(PII_KEY_SETTING, key)
+    return key
 
 
 def op1_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
