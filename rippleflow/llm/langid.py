@@ -34,7 +34,7 @@ from rippleflow.llm.common import arrow_schema, join_sized, map_batches, staged,
 
 UNKNOWN = "und"
 #: Size of the shipped part: a hash and one number per language for each word.
-HEAD_BYTES = 32_000_000
+HEAD_BYTES = 24_000_000
 #: Bins of word counts per octave.
 BINS = 8
 ORDERS = (4, 3, 2, 1)
