@@ -11,30 +11,42 @@ def content_hash(canonical: Column, length: int = 12) -> Column:
     return F.substring(F.sha2(canonical, 256), 1, length)
 
 
+def joined_parts(*parts: Column) -> Column:
+    """One text per row from which every part can be told: each with its length, ``~`` if missing."""
+    return F.concat(*[F.coalesce(F.concat(F.length(p).cast("string"), F.lit(":"), p), F.lit("~"))
+                      for p in parts])
+
+
 def row_text(labels, values, decimals: int = 10) -> Column:
     """Canonical text of a row: its labels, then its values rounded to fixed decimals."""
-    return F.concat_ws(
-        "|", *[F.col(c) for c in labels],
-        *[F.format_number(F.round(F.col(c), decimals) + F.lit(0.0), decimals) for c in values])
+    return joined_parts(
+        *[F.col(c).cast("string") for c in labels],
+        *[F.regexp_replace(F.format_number(F.round(F.col(c), decimals) + F.lit(0.0), decimals), ",", "")
+          for c in values])
 
 
-def table_fingerprint(df: DataFrame, labels, values, decimals: int = 10, keys=()) -> DataFrame:
-    """Order-free fingerprint (n_rows, fingerprint) of a table of any size.
+def multiset_sum(text: Column, lanes: int = 4) -> Column:
+    """Aggregate: a hash of the multiset of ``text`` values, as sums of ``lanes`` parts of 60 bits of
+    each row's SHA-256.
 
-    Each row becomes 32 bits of its own SHA-256; the table adds them up. Addition does not depend
-    on row order and combines map-side, so no list of rows is ever gathered.
+    Sums do not depend on the order of rows and combine before the shuffle, so no list of rows is
+    gathered; repeated rows count. Two different tables agree by chance once in 2 to the 240.
     """
-    piece = F.conv(F.substring(F.sha2(row_text(labels, values, decimals), 256), 1, 8), 16, 10)
-    return df.select(*keys, piece.cast("bigint").alias("piece")).groupBy(*keys).agg(
-        F.count("*").alias("n_rows"), F.sum("piece").alias("fingerprint"))
+    digest = F.sha2(text, 256)
+    return F.concat_ws("-", *[F.sum(F.conv(
+        F.substring(digest, 1 + 15 * lane, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+        for lane in range(lanes)])
 
 
-def map_hash(df: DataFrame, parts, keys=(), length: int = 12) -> DataFrame:
-    """Hash of a mapping table per ``keys``: of its number of rows and the sum of their hashes.
+def table_fingerprint(df: DataFrame, labels, values, decimals: int = 10, keys=()) -> DataFrame:
+    """Order-free fingerprint (n_rows, fingerprint) of a table of any size."""
+    return df.groupBy(*keys).agg(
+        F.count("*").alias("n_rows"),
+        multiset_sum(row_text(labels, values, decimals)).alias("fingerprint"))
 
-    Addition does not depend on row order and combines before the shuffle, at any size.
-    """
-    piece = F.conv(F.substring(F.sha2(F.concat_ws("=", *parts), 256), 1, 15), 16, 10)
+
+def map_hash(df: DataFrame, parts, keys=(), length: int = 12) -> DataFrame:
+    """Hash of a mapping table per ``keys``: of its number of rows and the sums of their hashes."""
     text = F.concat_ws("|", F.count("*").cast("string"),
-                       F.sum(piece.cast("decimal(20,0)")).cast("decimal(38,0)").cast("string"))
+                       multiset_sum(joined_parts(*[F.col(p).cast("string") for p in parts])))
     return df.groupBy(*keys).agg(content_hash(text, length).alias("content_hash"))

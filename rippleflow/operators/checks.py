@@ -504,6 +504,7 @@ def dust_rules(trade: DataFrame, threshold: float) -> DataFrame:
 
 def carbon_share(shares: DataFrame, goods: DataFrame) -> DataFrame:
     """A supplied cost-share table on the model's goods, missing entries 0."""
+    require_empty(carbon_share_rules(shares, goods))
     keys = goods.columns
     return goods.join(shares, keys, "left").select(
         *keys, F.coalesce("share", F.lit(0.0)).alias("share"))

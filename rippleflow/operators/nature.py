@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from rippleflow.functions.labels import checked, label, split_label
 from rippleflow.functions.paths import state_at
 from rippleflow.operators.leontief import covered_goods, price_links, shock_levels
-from rippleflow.plans.fixpoint import iterate, spread
+from rippleflow.plans.fixpoint import iterate
+from rippleflow.plans.graphs import spread
 from rippleflow.plans.joins import union_all
 
 # Numeric scale of the materiality classes.

@@ -85,6 +85,9 @@ def trend_index(years: DataFrame, growth: DataFrame, keys=()) -> DataFrame:
 
 def scale_endowments(endowment: DataFrame, scale: DataFrame) -> DataFrame:
     """Endowments (region, factor, value) times a scale table (factor, region or null, scale)."""
+    from rippleflow.operators.checks import require_empty
+
+    require_empty(scale_rules(endowment, scale))
     wide = scale.where("region IS NULL").select("factor", F.col("scale").alias("all_scale"))
     own = scale.where("region IS NOT NULL").select("factor", "region", F.col("scale").alias("own"))
     return endowment.join(wide, "factor", "left").join(own, ["factor", "region"], "left").select(

@@ -9,7 +9,7 @@ from rippleflow.functions.labels import is_rest_of_world
 from rippleflow.operators.harmonise import total_by_label
 from rippleflow.operators.leontief import quantity_links
 from rippleflow.operators.macro import input_shares
-from rippleflow.plans.fixpoint import spectral_bounds
+from rippleflow.plans.fixpoint import spectral_radius
 from rippleflow.plans.joins import union_all
 
 NEGATIVE_SHARE_LIMIT = 0.02
@@ -29,14 +29,13 @@ def check(df: DataFrame, name: str, ok, bad: str, value="value", tolerance=None)
 
 
 def spectral_radius_check(coeff: DataFrame) -> DataFrame:
-    """The spectral radius must stay under 1 in every connected part of the table.
+    """The spectral radius must stay under 1.
 
-    The value is the largest upper bound. A part passes if its upper bound is below 1; one whose
-    bounds never leave 1 is reported as a failure, not as its midpoint.
+    The value is the upper bound, which is 0 for a table without loops. A table whose bounds can't be
+    brought to one side of 1 is an error, not a failure.
     """
-    agg = spectral_bounds(quantity_links(coeff)).agg(
-        F.coalesce(F.max("hi"), F.lit(0.0)).alias("value"))
-    return check(agg, "spectral_radius", F.col("value") < 1.0, "fail", tolerance=1.0)
+    bounds = spectral_radius(quantity_links(coeff)).select(F.col("hi").alias("value"))
+    return check(bounds, "spectral_radius", F.col("value") < 1.0, "fail", tolerance=1.0)
 
 
 def column_sum_check(coeff: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippleflow.operators.quality import check
-from rippleflow.plans.fixpoint import NotConverged, spread
+from rippleflow.plans.fixpoint import NotConverged
+from rippleflow.plans.graphs import connected
 from rippleflow.plans.joins import union_all
 from rippleflow.session import cut_lineage
 
@@ -110,6 +111,7 @@ def closed_sam(flows: DataFrame, final_demand: DataFrame, split: DataFrame | Non
     if split is None:
         return _tidy([*blocks, _cells(acc, F.col("sector"), HOUSEHOLD, "fd")])
     totals = cut_lineage(institution_totals(split, acc))
+    _require_empty(split_violations(totals))
     blocks += [
         _cells(totals, F.col("sector"), HOUSEHOLD, "household"),
         _cells(totals, F.col("sector"), GOVERNMENT, "gov"),
@@ -181,6 +183,7 @@ def open_sam(flows: DataFrame, final_demand: DataFrame, home: str, measured: boo
     """
     _share(capital_share)
     acc = cut_lineage(open_accounts(flows, final_demand, home, measured))
+    _require_empty(open_violations(acc))
     act, com = F.concat(F.lit("a_"), F.col("sector")), F.concat(F.lit("c_"), F.col("sector"))
     gap = acc.agg((F.sum("imports") - F.sum("exports")).alias("gap"))
     return _tidy([
@@ -283,6 +286,36 @@ def is_balanced(sam: DataFrame, tol: float = 1e-6) -> bool:
     return worst is None or worst <= tol
 
 
+def _require_empty(violations: DataFrame) -> None:
+    from rippleflow.operators.checks import require_empty
+
+    require_empty(violations)
+
+
+def support_conflicts(sam: DataFrame, targets: DataFrame, tol: float = 1e-9) -> DataFrame:
+    """(rule, item): why no scaling of the positive cells can meet ``targets(account, target)``.
+
+    Rows and columns that share positive cells fall into connected parts. Within a part the row
+    targets must add up to the column targets, as both are the sum of its cells; and an account with
+    a positive target needs a positive cell in its row and in its column.
+    """
+    cells = sam.where("value > 0").select(
+        F.concat(F.lit("r"), "row_acct").alias("src"), F.concat(F.lit("c"), "col_acct").alias("dst"))
+    parts = connected(cells)
+    sides = targets.select("account", "target", F.explode(F.array(F.lit("r"), F.lit("c"))).alias("side"))
+    sides = cut_lineage(sides.withColumn("label", F.concat("side", "account")).join(parts, "label", "left"))
+    empty = sides.where("system IS NULL AND target > 0").select(
+        F.when(F.col("side") == "r", "row_without_cells").otherwise("column_without_cells").alias("rule"),
+        F.col("account").alias("item"))
+    sums = sides.where("system IS NOT NULL").groupBy("system").agg(
+        F.sum(F.when(F.col("side") == "r", F.col("target")).otherwise(0.0)).alias("rows"),
+        F.sum(F.when(F.col("side") == "c", F.col("target")).otherwise(0.0)).alias("columns"))
+    apart = sums.where(F.abs(F.col("rows") - F.col("columns"))
+                       > tol * F.greatest("rows", "columns", F.lit(1e-300)))
+    return union_all([empty, apart.select(F.lit("targets_disagree").alias("rule"),
+                                          F.expr("substring(system, 2)").alias("item"))])
+
+
 def mean_targets(sam: DataFrame) -> DataFrame:
     """(account, target): the mean of receipts and payments."""
     return account_totals(sam).select(
@@ -355,6 +388,7 @@ def balance(sam: DataFrame, tol: float = 1e-6) -> tuple[DataFrame, DataFrame | N
     """The SAM balanced if it needs to be, and the adjustment per cell (None when untouched)."""
     if is_balanced(sam, tol):
         return sam, None
+    _require_empty(support_conflicts(sam, mean_targets(sam)))
     balanced = ras(sam, mean_targets(sam), tol=min(tol, 1e-9))
     moved = union_all([sam, balanced.withColumn("value", -F.col("value"))]).groupBy(
         "row_acct", "col_acct").agg(F.sum("value").alias("value"))
@@ -458,11 +492,9 @@ def components(routes: DataFrame, regions: DataFrame, threshold: float = 0.0) ->
     """
     live = routes.where((F.col("value") >= threshold) & (F.col("value") > 0)
                         & (F.col("origin") != F.col("dest"))).select("origin", "dest").distinct()
-    links = live.select(F.col("origin").alias("src"), F.col("dest").alias("dst")).unionByName(
-        live.select(F.col("dest").alias("src"), F.col("origin").alias("dst")))
-    start = regions.select(F.col("region").alias("label"), F.col("region").alias("value")).distinct()
-    return spread(links, start, how="min").select(
-        F.col("label").alias("region"), F.col("value").alias("component"))
+    found = connected(live.toDF("src", "dst")).toDF("region", "component")
+    return regions.select("region").distinct().join(found, "region", "left").select(
+        "region", F.coalesce("component", "region").alias("component"))
 
 
 def active_routes(shares: DataFrame) -> DataFrame:

@@ -32,7 +32,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rippleflow.plans.graphs import ends_of, strong_parts
 from rippleflow.plans.joins import BROADCAST_ROWS, fits_broadcast
+from rippleflow.plans.rounds import names, rounds
 from rippleflow.session import cut_lineage
 
 SQUARING_BUDGET = 1_000_000
@@ -62,28 +64,6 @@ def _maybe_broadcast(df: DataFrame, rows: float | None) -> DataFrame:
     return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
 
 
-def _names(columns, prefix="") -> str:
-    return "".join(f"{prefix}`{c}`, " for c in columns)
-
-
-def _rounds(chain: DataFrame, state: DataFrame, keys, link_keys, count: int,
-            outputs: str, small: bool) -> DataFrame:
-    """``count`` rounds of join-and-aggregate along ``chain`` as one statement.
-
-    A round joins the state to the chain at ``src`` and groups what arrives by ``dst``.
-    """
-    hint = "/*+ BROADCAST(c) */ " if small else ""
-    on = "".join(f" AND c.`{k}` = s.`{k}`" for k in link_keys)
-    parts = ["r0 AS (SELECT * FROM {state})"]
-    for i in range(1, count + 1):
-        parts.append(
-            f"r{i} AS (SELECT {hint}{_names(keys, 's.')}c.dst AS label, {outputs} "
-            f"FROM {{chain}} c JOIN r{i - 1} s ON s.label = c.src{on} "
-            f"GROUP BY {_names(keys, 's.')}c.dst)")
-    return chain.sparkSession.sql(
-        "WITH " + ", ".join(parts) + f" SELECT * FROM r{count}", chain=chain, state=state)
-
-
 class Propagator:
     """Sum of all powers of a link table, ready to be applied to any number of vectors.
 
@@ -160,17 +140,20 @@ class Propagator:
                 if size < self.tol:
                     break
                 if not size < OVERFLOW or level >= MAX_LEVELS:
+                    plain = marked_links(self.links, keys) if keys else self.links
+                    if radius_below_one(plain):
+                        raise OverflowError(f"powers of the link table beyond {OVERFLOW:g}")
                     raise NotProductive(
                         f"powers of the link table do not vanish (norm {size:.3e} after "
                         f"{2 ** level} rounds): spectral radius >= 1")
             hint = "/*+ BROADCAST(p) */ " if cells <= BROADCAST_ROWS else ""
             on = "".join(f" AND l.`{k}` = p.`{k}`" for k in keys)
             state = cut_lineage(self.links.sparkSession.sql(
-                f"SELECT {_names(keys)}part, src, dst, sum(w) AS w FROM ("
-                f"SELECT {_names(keys)}part, src, dst, w FROM {{s}} WHERE part = 'sum' "
-                f"UNION ALL SELECT {hint}{_names(keys, 'l.')}l.part, l.src, p.dst, l.w * p.w "
+                f"SELECT {names(keys)}part, src, dst, sum(w) AS w FROM ("
+                f"SELECT {names(keys)}part, src, dst, w FROM {{s}} WHERE part = 'sum' "
+                f"UNION ALL SELECT {hint}{names(keys, 'l.')}l.part, l.src, p.dst, l.w * p.w "
                 f"FROM {{s}} l JOIN {{s}} p ON l.dst = p.src{on} AND p.part = 'power'"
-                f") GROUP BY {_names(keys)}part, src, dst", s=state))
+                f") GROUP BY {names(keys)}part, src, dst", s=state))
             level += 1
         self._total = cut_lineage(
             state.where("part = 'sum'").select(*keys, "src", "dst", "w"))
@@ -280,17 +263,17 @@ def iterate(
     rest = F.when(F.col("share") <= 0, 0.0).when(
         F.col("ratio") < 1, F.col("share") * F.col("ratio") / (1 - F.col("ratio"))
     ).otherwise(float("inf"))
-    rounds, growing = 0, 0
+    done, growing, proven = 0, 0, False
     try:
         while True:
-            state = cut_lineage(_rounds(
+            state = cut_lineage(rounds(
                 chain, state.withColumn("past", F.abs("term")), keys, link_keys, hops,
                 "max(if(own, scale, null)) * sum(w * term) AS term, "
                 "max(if(own, total, null)) + max(if(own, scale, null)) * sum(w * term) AS total, "
                 "max(if(own, scale, null)) AS scale, "
                 "max(if(own, mass, null)) + abs(max(if(own, scale, null)) * sum(w * term)) AS mass, "
                 "max(if(own, past, null)) AS past", small))
-            rounds += hops
+            done += hops
             got = (state.groupBy(*keys).agg(
                 F.sum(F.abs("term")).alias("now"), F.sum("past").alias("past"),
                 F.max(F.when(F.col("mass") > 0, F.abs("term") / F.col("mass"))
@@ -300,102 +283,85 @@ def iterate(
                      F.max("now").alias("now"))).first()
             if got["rest"] is None or got["rest"] <= tol:
                 return state.select(*keys, "label", F.col("total").alias("value"))
-            if patience is not None and rounds >= GROWTH_ROUNDS // 2 and (
+            if patience is not None and done >= GROWTH_ROUNDS // 2 and (
                     got["ratio"] >= 1.0 or math.log(tol / got["rest"]) < patience * math.log(
                         max(got["ratio"], 1e-300))):
                 return None
             growing = growing + 1 if got["ratio"] >= 1.0 else 0
-            if not got["now"] < OVERFLOW or (growing and rounds >= GROWTH_ROUNDS and (
-                    damp is not None or not radius_below_one(links, link_keys))):
-                raise NotProductive(
-                    f"terms do not vanish (ratio {got['ratio']:.6f} after {rounds} rounds)")
+            if growing and not proven and (done >= GROWTH_ROUNDS or not got["now"] < OVERFLOW):
+                # growth may pass; only a bound of the table tells
+                if not productive(links, state, keys, link_keys, damp is not None):
+                    raise NotProductive(
+                        f"spectral radius >= 1 (terms grow by {got['ratio']:.6f} after {done} rounds)")
+                proven = True
+            if not got["now"] < OVERFLOW:
+                raise OverflowError(f"terms beyond {OVERFLOW:g} after {done} rounds")
     finally:
         chain.unpersist()
 
 
-def spread(links: DataFrame, vector: DataFrame, keys=(), *, how: str = "max",
-           hops: int = 3) -> DataFrame:
-    """Smallest or largest value reachable upstream, including a label's own value.
+def productive(links: DataFrame, state: DataFrame, keys, link_keys, damped: bool) -> bool:
+    """Whether the system of every key vanishes, by bounds of the table as its ``scale`` leaves it.
 
-    ``links(src, dst)``; ``vector(keys..., label, value)`` has a row for every label. Stops when a
-    round changes nothing, which happens after as many rounds as the longest path has links.
+    The table itself is tried first, as a scale of at most 1 takes away. Otherwise each key has a
+    table of its own: what a label receives is scaled, and labels with scale 0 receive nothing.
     """
-    keys = list(keys)
-    if how not in ("max", "min"):
-        raise ValueError(f"how must be 'max' or 'min', got {how!r}")
-    state = cut_lineage(vector.select(*keys, "label", "value"))
-    loops = state.select(F.col("label").alias("src"), F.col("label").alias("dst")).distinct()
-    chain = (
-        links.select("src", "dst").where("src <> dst").distinct()
-        .withColumn("own", F.lit(False))
-        .unionByName(loops.withColumn("own", F.lit(True))).repartition("src").persist()
-    )
-    small = fits_broadcast(chain)
-    try:
-        while True:
-            state = cut_lineage(_rounds(
-                chain, state, keys, [], hops,
-                f"{how}(value) AS value, max(if(own, value, null)) AS before", small))
-            if state.where(F.col("value") != F.col("before")).isEmpty():
-                return state.select(*keys, "label", "value")
-    finally:
-        chain.unpersist()
-
-
-def connected(links: DataFrame) -> DataFrame:
-    """(label, system): the least label of each weakly connected part of ``links``."""
-    both = links.select("src", "dst").union(links.select(F.col("dst").alias("src"),
-                                                         F.col("src").alias("dst")))
-    nodes = both.select(F.col("src").alias("label"), F.col("src").alias("value")).distinct()
-    return spread(both, nodes, how="min").withColumnRenamed("value", "system")
+    plain = marked_links(links, link_keys) if link_keys else links.select("src", "dst", "w")
+    worst = state.agg(F.max(F.abs("scale")).alias("s")).first()["s"]
+    if worst is None or worst <= 1.0:
+        if radius_below_one(plain):
+            return True
+    if not damped:
+        return False
+    scales = state.where("scale <> 0").select(*keys, F.col("label").alias("dst"), "scale")
+    own = links.join(scales, [*link_keys, "dst"]).select(
+        *keys, "src", "dst", (F.col("w") * F.col("scale")).alias("w"))
+    return radius_below_one(marked_links(own, keys) if keys else own)
 
 
 class Undecided(NotConverged):
-    """The bounds of a spectral radius enclose 1 and no longer move."""
+    """The bounds of a spectral radius enclose 1 and do not close in."""
 
 
-def spectral_bounds(links: DataFrame, tol: float = 1e-10, hops: int = 8,
-                    settle_rounds: int = 200, max_rounds: int = 4000,
-                    decide: float = 1.0) -> DataFrame:
-    """Bounds (system, lo, hi) of the spectral radius of each connected part of |links|.
+def spectral_bounds(links: DataFrame, tol: float = 1e-10, hops: int = 8, settle_rounds: int = 200,
+                    decide: float | None = 1.0, squaring_budget: float = SLOW_BUDGET) -> DataFrame:
+    """Bounds (system, lo, hi) of the spectral radius of |links|, by strongly connected parts.
 
-    Collatz-Wielandt quotients of power steps with the table plus a multiple of the identity, which
-    makes periodic parts settle: the quotients less that shift enclose the radius of their part. In a part that
-    falls into chained blocks the lower bound may stay low; the upper one always holds, but may
-    fall slowly. Ends when the quotients agree or the upper bound no longer falls, after
-    ``settle_rounds`` if each part lies on one side of ``decide``, and after ``max_rounds`` at last.
+    The radius of a table is the largest of those of its strongly connected parts; labels on no loop
+    have radius 0 and no row. Within a part, Collatz-Wielandt quotients of power steps with the part
+    plus a multiple of the identity, which makes periodic parts settle, close in on the radius from
+    both sides, and hold at every step. Ends when all parts are within ``tol`` or, after
+    ``settle_rounds``, each lies on one side of ``decide``. Parts that close in slowly are squared
+    where the cube of their labels allows, which doubles the steps of a round; beyond that ``Undecided``
+    is raised rather than an open bound returned.
     """
-    systems = cut_lineage(connected(links))
-    link = links.select("src", "dst", F.abs("w").alias("w"))
+    table = links.groupBy("src", "dst").agg(F.sum(F.abs("w")).alias("w")).where("w > 0")
+    systems = cut_lineage(strong_parts(table))
+    inner = table.join(systems.toDF("src", "system"), "src").join(
+        systems.toDF("dst", "other"), "dst").where("system = other")
     chain = (
-        link.withColumn("own", F.lit(False))
+        inner.select("src", "dst", "w").withColumn("own", F.lit(False))
         .unionByName(systems.select(F.col("label").alias("src"), F.col("label").alias("dst"),
                                     F.lit(SHIFT).alias("w"), F.lit(True).alias("own")))
         .repartition("src").persist()
     )
     small = fits_broadcast(chain)
     state = systems.select("system", "label", F.lit(1.0).alias("value"))
-    last, rounds = None, 0
+    done = 0
     try:
         while True:
-            state = cut_lineage(_rounds(
+            state = cut_lineage(rounds(
                 chain, state, ["system"], [], hops,
                 "sum(w * value) AS value, max(if(own, value, null)) AS before", small))
-            rounds += hops
-            quotient = F.col("value") / F.col("before") - SHIFT
-            bounds = state.groupBy("system").agg(
-                F.greatest(F.min(quotient), F.lit(0.0)).alias("lo"),
-                F.greatest(F.max(quotient), F.lit(0.0)).alias("hi"), F.max("value").alias("top"))
-            got = bounds.agg(
-                F.max("top").alias("top"), F.min("top").alias("low_top"),
-                F.max(F.col("hi") - F.col("lo")).alias("gap"), F.max("hi").alias("hi"),
-                F.count_if((F.col("lo") < decide) & (F.col("hi") >= decide)).alias("open")).first()
-            settled = last is not None and last - got["hi"] <= tol * max(got["hi"], 1e-300) \
-                if got["hi"] is not None else True
-            if got["gap"] is None or got["gap"] <= tol or settled or rounds >= max_rounds \
-                    or rounds >= settle_rounds and not got["open"]:
+            done += hops
+            bounds = _quotients(state)
+            got = _closeness(bounds, decide)
+            if got["gap"] is None or got["gap"] <= tol or done >= settle_rounds and not got["open"]:
                 return bounds.select("system", "lo", "hi")
-            last = got["hi"]
+            if done >= settle_rounds // 4 and got["cubes"] <= squaring_budget:
+                return _squared_bounds(chain, systems, tol, decide)
+            if done >= 20 * settle_rounds:
+                raise Undecided(f"a spectral radius lies between {got['lo']:.9f} and {got['hi']:.9f}")
             if got["top"] > 1e60 or got["low_top"] < 1e-60:
                 state = state.join(bounds, "system").select(
                     "system", "label", (F.col("value") / F.col("top")).alias("value"))
@@ -403,16 +369,88 @@ def spectral_bounds(links: DataFrame, tol: float = 1e-10, hops: int = 8,
         chain.unpersist()
 
 
-def radius_below_one(links: DataFrame, link_keys=()) -> bool:
+def _quotients(state: DataFrame) -> DataFrame:
+    quotient = F.col("value") / F.col("before") - SHIFT
+    return state.groupBy("system").agg(
+        F.greatest(F.min(quotient), F.lit(0.0)).alias("lo"),
+        F.greatest(F.max(quotient), F.lit(0.0)).alias("hi"), F.max("value").alias("top"),
+        F.pow(F.count("*").cast("double"), 3).alias("cube"))
+
+
+def _closeness(bounds: DataFrame, decide: float | None):
+    """What is still open: the widest part, and the parts on both sides of ``decide``."""
+    sides = F.lit(True) if decide is None else (F.col("lo") < decide) & (F.col("hi") >= decide)
+    return bounds.agg(
+        F.max(F.col("hi") - F.col("lo")).alias("gap"), F.count_if(sides).alias("open"),
+        F.max("top").alias("top"), F.min("top").alias("low_top"), F.sum("cube").alias("cubes"),
+        F.max(F.when(sides, F.col("lo"))).alias("lo"), F.max(F.when(sides, F.col("hi"))).alias("hi"),
+    ).first()
+
+
+def _squared_bounds(chain: DataFrame, systems: DataFrame, tol: float, decide: float | None) -> DataFrame:
+    """Bounds from the row sums of repeated squares of ``chain``, scaled per part."""
+    into = systems.select(F.col("label").alias("src"), "system")
+    power = cut_lineage(chain.groupBy("src", "dst").agg(F.sum("w").alias("w")).join(into, "src"))
+    for _ in range(MAX_LEVELS):
+        largest = power.groupBy("system").agg(F.max("w").alias("top"))
+        left = power.join(largest, "system").select(
+            "system", "src", F.col("dst").alias("mid"), (F.col("w") / F.col("top")).alias("a"))
+        right = left.select("system", F.col("src").alias("mid"), F.col("mid").alias("dst"),
+                            F.col("a").alias("b"))
+        power = cut_lineage(left.join(right, ["system", "mid"]).groupBy("system", "src", "dst").agg(
+            F.sum(F.col("a") * F.col("b")).alias("w")))
+        vector = power.groupBy("system", F.col("dst").alias("label")).agg(F.sum("w").alias("value"))
+        stepped = rounds(chain, vector, ["system"], [], 1,
+                         "sum(w * value) AS value, max(if(own, value, null)) AS before", False)
+        bounds = cut_lineage(_quotients(stepped))
+        got = _closeness(bounds, decide)
+        if got["gap"] <= tol or got["gap"] <= 1e-6 and not got["open"]:
+            return bounds.select("system", "lo", "hi")
+    raise Undecided(f"a spectral radius lies between {got['lo']:.9f} and {got['hi']:.9f}")
+
+
+def spectral_radius(links: DataFrame, tol: float = 1e-10, hops: int = 8, steps: int = 4) -> DataFrame:
+    """One row (lo, hi): bounds of the spectral radius of |links|.
+
+    Quotients of power steps bound the radius of any table, and close in on it at once where most
+    labels lie on loops together. Other tables are taken apart.
+    """
+    table = links.groupBy("src", "dst").agg(F.sum(F.abs("w")).alias("w")).where("w > 0")
+    labels = ends_of(table)
+    chain = table.withColumn("own", F.lit(False)).unionByName(labels.select(
+        F.col("label").alias("src"), F.col("label").alias("dst"), F.lit(SHIFT).alias("w"),
+        F.lit(True).alias("own"))).repartition("src").persist()
+    state = labels.select("label", F.lit(1.0).alias("value"))
+    try:
+        small = fits_broadcast(chain)
+        for _ in range(steps):
+            state = cut_lineage(rounds(
+                chain, state, [], [], hops,
+                "sum(w * value) AS value, max(if(own, value, null)) AS before", small))
+            bounds = _quotients(state.withColumn("system", F.lit("")))
+            got = bounds.first()
+            if got is None:
+                break
+            if got["hi"] - got["lo"] <= tol:
+                return bounds.select("lo", "hi")
+    finally:
+        chain.unpersist()
+    return spectral_bounds(table, tol).agg(
+        F.coalesce(F.max("lo"), F.lit(0.0)).alias("lo"), F.coalesce(F.max("hi"), F.lit(0.0)).alias("hi"))
+
+
+def radius_below_one(links: DataFrame) -> bool:
     """Whether powers of the absolute table vanish; raises ``Undecided`` if no bound tells."""
-    if link_keys:  # separate systems are separate parts of one table
-        mark = F.concat_ws("\x1f", *[F.col(k).cast("string") for k in link_keys])
-        links = links.select(*[F.concat_ws("\x1f", mark, F.col(c)).alias(c) for c in ("src", "dst")],
-                             "w")
-    got = spectral_bounds(links, settle_rounds=0).agg(
-        F.max("lo").alias("lo"), F.max("hi").alias("hi")).first()
-    if got["hi"] is None or got["hi"] < 1.0:
-        return True
-    if got["lo"] >= 1.0:
-        return False
-    raise Undecided(f"the spectral radius lies between {got['lo']:.9f} and {got['hi']:.9f}")
+    weights = F.sum(F.abs("w")).alias("s")
+    for end in ("dst", "src"):
+        norm = links.groupBy(end).agg(weights).agg(F.max("s").alias("s")).first()["s"]
+        if norm is None or norm < 1.0:
+            return True
+    got = spectral_bounds(links, settle_rounds=16).agg(F.max("hi").alias("hi")).first()
+    return got["hi"] is None or got["hi"] < 1.0
+
+
+def marked_links(links: DataFrame, keys) -> DataFrame:
+    """The separate systems of ``keys`` as parts of one table."""
+    mark = F.to_json(F.struct(*keys))
+    return links.select(*[F.concat_ws("\x1f", mark, F.col(c)).alias(c) for c in ("src", "dst")], "w")

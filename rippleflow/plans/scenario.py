@@ -45,6 +45,8 @@ def expand(shocks: DataFrame, years: DataFrame, channels: DataFrame | None = Non
     """Explicit shocks plus the stresses that physical state pathways imply."""
     if channels is None or pathways is None:
         return shocks.select(*SHOCK_COLUMNS)
+    checks.require_empty(checks.broken(nature.unmatched_pathways(channels, pathways),
+                                       "pathway_without_channel", F.col("channel_id")))
     states = nature.state_path(pathways, years)
     stresses = nature.stresses_from_states(channels, nature.severity_path(channels, states))
     return union_all([shocks.select(*SHOCK_COLUMNS), stresses.select(*SHOCK_COLUMNS)])

@@ -160,6 +160,18 @@ part AS (SELECT scenario_id, year, region, sector,
   FROM pit GROUP BY 1, 2, 3, 4, 5),
 dp AS MATERIALIZED (SELECT scenario_id, year, region, sector, sum(value) AS value FROM part GROUP BY 1, 2, 3, 4)"""
 
+def parts_sql(*parts: str) -> str:
+    """The SQL of ``hashing.joined_parts`` for parts that are not missing."""
+    return " || ".join(f"length({p}) || ':' || {p}" for p in parts)
+
+
+def multiset_sql(text: str) -> str:
+    """The SQL of ``hashing.multiset_sum``."""
+    return " || '-' || ".join(
+        f"sum(('0x' || substring(sha256({text}), {1 + 15 * lane}, 15))::BIGINT::HUGEINT)::VARCHAR"
+        for lane in range(4))
+
+
 PARTS = ["direct", "upstream_tier_1", "upstream_tier_2", "upstream_tier_3", "upstream_residual"]
 
 

@@ -11,7 +11,9 @@ from rippleflow.operators.harmonise import demand_by_institution
 from rippleflow.plans.joins import union_all
 from rippleflow.session import literal_table
 from rippleflow.workload import inputs
-from rippleflow.workload.common import economy_sql, r6, rounded, shocks, with_sql
+from rippleflow.workload.common import (
+    economy_sql, multiset_sql, parts_sql, r6, rounded, shocks, with_sql,
+)
 from rippleflow.workload.economy import economy, read
 
 
@@ -417,9 +419,9 @@ c AS (SELECT origin, dest, sector, sum(v) AS v FROM (SELECT i_region AS origin,
 SELECT 'dust_route' AS rule, concat_ws(':', origin, dest, sector) AS item FROM c WHERE origin <> dest AND v > 0 AND v < 0.0065 * (SELECT sum(value) FROM fd)""",
     "carbon_share_table": _E + f"""
 SELECT region, sector, {r6("CASE WHEN sector = 'PROMO' THEN 0.0 ELSE intensity * 1e-6 END", 10)} AS share FROM sat WHERE stressor = 'CO2'""",
-    "fingerprint": _E + """
-SELECT j_region, count(*) AS n_rows, CAST(sum(CAST('0x' || substring(sha256(i_region || ':' || i_sector || '|' || j_region || ':' || j_sector || '|' ||
- printf('%.6f', round(a, 6))), 1, 8) AS BIGINT)) AS BIGINT) AS fingerprint FROM coeff GROUP BY 1""",
+    "fingerprint": _E + f"""
+, t AS (SELECT j_region, {parts_sql("i_region || ':' || i_sector", "j_region || ':' || j_sector", "printf('%.6f', round(a, 6))")} AS t FROM coeff)
+SELECT j_region, count(*) AS n_rows, {multiset_sql('t')} AS fingerprint FROM t GROUP BY 1""",
     "trade_elasticity_check": _E + """
 SELECT 'trade_elasticity' AS rule, CASE WHEN origin = dest THEN 'domestic' ELSE origin END AS item, count(*) AS n FROM
  (SELECT i_region AS origin, j_region AS dest, i_sector AS sector FROM z UNION SELECT region, d_region, sector FROM fd)

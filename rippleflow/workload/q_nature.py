@@ -11,7 +11,9 @@ from rippleflow.operators import nature, panel
 from rippleflow.plans.joins import union_all
 from rippleflow.session import literal_table
 from rippleflow.workload import inputs
-from rippleflow.workload.common import COVERED, economy_sql, r6, rounded, values, with_sql
+from rippleflow.workload.common import (
+    COVERED, economy_sql, multiset_sql, parts_sql, r6, rounded, values, with_sql,
+)
 from rippleflow.workload.economy import economy, read
 
 STRESSES = [
@@ -342,8 +344,8 @@ SELECT status, name, year, {r6('pow(1 + g, i)')} AS index FROM p CROSS JOIN
 t AS (SELECT region, sum(x) AS x FROM x GROUP BY 1)
 SELECT region, 'CAP' AS factor, {r6('x * 0.4 * 1.2', 7)} AS value FROM t UNION ALL
 SELECT region, 'LAB', {r6("x * 0.6 * CASE WHEN region = 'ASIA' THEN 0.9 ELSE 1.0 END", 7)} FROM t""",
-    "mapping_hash": with_sql(economy_sql()) + """
-SELECT 'nation_map' AS item, substring(sha256((SELECT count(*)::VARCHAR || '|' || sum(('0x' || substring(sha256(n_name || '=' || r_name), 1, 15))::BIGINT::HUGEINT)::VARCHAR
+    "mapping_hash": with_sql(economy_sql()) + f"""
+SELECT 'nation_map' AS item, substring(sha256((SELECT count(*)::VARCHAR || '|' || {multiset_sql(parts_sql('n_name', 'r_name'))}
  FROM nation JOIN region ON r_regionkey = n_regionkey)), 1, 12) AS content_hash UNION ALL
 SELECT region || ':' || sector, substring(sha256(region || '|' || sector), 1, 12) FROM x""",
 }

@@ -11,7 +11,9 @@ from rippleflow.plans.fixpoint import Propagator, spectral_bounds
 from rippleflow.plans.joins import union_all
 from rippleflow.session import literal_table
 from rippleflow.workload import inputs, q_flows, q_nature
-from rippleflow.workload.common import economy_sql, r6, rounded, values, with_sql
+from rippleflow.workload.common import (
+    economy_sql, multiset_sql, parts_sql, r6, rounded, values, with_sql,
+)
 from rippleflow.workload.economy import economy, read
 
 SLOW = [0.99, 0.9995]
@@ -57,9 +59,10 @@ def spectral_parts(spark, d):
     e = economy(spark, d)
     own = e.coeff.where("i_region = j_region")
     share = F.when(F.col("j_region") == "ASIA", 1.2).otherwise(0.5)
-    got = spectral_bounds(quantity_links(_with_input_share(own, share)))
+    got = spectral_bounds(quantity_links(_with_input_share(own, share))).groupBy(
+        F.split("system", ":")[0].alias("region")).agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
     return rounded(got.select(
-        F.split("system", ":")[0].alias("region"), "lo", "hi",
+        "region", "lo", "hi",
         F.when(F.col("hi") < 1, "pass").otherwise("fail").alias("severity")), "lo", "hi", digits=6)
 
 
@@ -187,14 +190,14 @@ ORACLES = {
         [(*row, i) for i, row in enumerate(volume.COARSE_DEMAND_ELASTICITIES)]) + """
 SELECT sector, low, central, high, source, confidence, count(*) AS n_parts
 FROM part JOIN e ON p_size % 15 = pos GROUP BY ALL""",
-    "coarse_build_id": """
+    "coarse_build_id": f"""
 WITH sg AS (SELECT DISTINCT p_type AS source, m.target, m.weight FROM part, LATERAL (VALUES
   ('goods', CASE WHEN p_type = 'SMALL' THEN 0.25 WHEN p_type IN ('LARGE','MEDIUM','STANDARD') THEN 1.0 ELSE 0.0 END),
   ('other', CASE WHEN p_type = 'SMALL' THEN 0.75 WHEN p_type IN ('LARGE','MEDIUM','STANDARD') THEN 0.0 ELSE 1.0 END))
   AS m(target, weight) WHERE m.weight > 0),
-maps AS (SELECT 'sector=' || source || '=' || target || '=' || format('{:.10f}', weight::DOUBLE) AS t FROM sg
- UNION ALL SELECT 'region=' || n_name || '=' || r_name || '=1.0000000000' FROM nation JOIN region ON r_regionkey = n_regionkey),
-h AS (SELECT substring(sha256(count(*)::VARCHAR || '|' || sum(('0x' || substring(sha256(t), 1, 15))::BIGINT::HUGEINT)::VARCHAR), 1, 8) AS h FROM maps)
+maps AS (SELECT {parts_sql("'sector'", 'source', 'target', "format('{:.10f}', weight::DOUBLE)")} AS t FROM sg
+ UNION ALL SELECT {parts_sql("'region'", 'n_name', 'r_name', "'1.0000000000'")} FROM nation JOIN region ON r_regionkey = n_regionkey),
+h AS (SELECT substring(sha256(count(*)::VARCHAR || '|' || {multiset_sql('t')}), 1, 8) AS h FROM maps)
 SELECT DISTINCT l_linestatus AS build_id, l_linestatus || '-custom-' || h AS coarse_id FROM lineitem, h""",
     "fixed_point_scales": _E + "," + values("s", "factor", [(s,) for s in SCALES]) + f"""
 SELECT strategy, factor, region, sector, {r6('x', 7)} AS x FROM x, s, (VALUES ('square'), ('walk')) AS t(strategy)""",
