@@ -18,7 +18,7 @@ from rippleflow.plans.rounds import rounds
 from rippleflow.session import cut_lineage
 
 #: Fewer labels with a single source are walked like others: a few rounds cost less than pointers.
-DOUBLED_FROM = 64
+DOUBLED_FROM = 16
 
 
 def ends_of(links: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries on the gates of builds: spectral radius, damped solves, balancing and stored builds."""
+"""Queries on damped solves, reach, balancing and stored builds."""
 
 from __future__ import annotations
 
@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from rippleflow.functions.labels import label
 from rippleflow.operators import sam
-from rippleflow.operators.leontief import quantity_links
-from rippleflow.plans.fixpoint import iterate, spectral_bounds
+from rippleflow.plans.fixpoint import iterate
 from rippleflow.plans.graphs import spread
 from rippleflow.plans.joins import union_all
 from rippleflow.plans.pipeline import Raw, store_builds
@@ -19,7 +18,6 @@ from rippleflow.workload.common import (
     economy_sql, multiset_sql, parts_sql, r6, rounded, with_sql,
 )
 from rippleflow.workload.economy import economy
-from rippleflow.workload.q_rules import _with_input_share
 from rippleflow.workload.q_sam import _CUBE, _uneven
 
 STEEP = 1.2
@@ -38,39 +36,6 @@ def _next_links(numbered: DataFrame, *parts: str) -> DataFrame:
     return numbered.withColumnRenamed("label", "src").join(after, [*parts, "n"])
 
 
-def spectral_gate(spark, d):
-    """A chain of all goods (radius 0 though every weight is above 1), a ring of each region's goods
-    (periodic: the geometric mean of its weights) and each region's own table as a block that feeds
-    the next ones, all as one table."""
-    e = economy(spark, d)
-    nation = economy(spark, d, "nation").output.select("region", "sector").distinct()
-    chain = _next_links(_numbered(nation)).select(
-        F.lit("chain").alias("kind"), F.lit("").alias("region"), "src", "dst", F.lit(STEEP).alias("w"))
-    goods = _numbered(e.output, "region").withColumn(
-        "w", 0.5 + F.col("x") / F.max("x").over(Window.partitionBy()))
-    size = goods.groupBy("region").agg(F.max("n").alias("size"))
-    # the link out of a good leads to the next one of its region, from the last to the first
-    ring = goods.join(size, "region").select(
-        "region", F.col("label").alias("src"), "w", (F.col("n") % F.col("size") + 1).alias("n")).join(
-        goods.select("region", F.col("label").alias("dst"), "n"), ["region", "n"]).select(
-        F.lit("ring").alias("kind"), "region", "src", "dst", "w")
-    share = F.when(F.col("j_region") == "ASIA", 1.2).otherwise(0.5)
-    own = quantity_links(_with_input_share(e.coeff.where("i_region = j_region"), share)).select(
-        F.lit("block").alias("kind"), F.split("src", ":")[0].alias("region"), "src", "dst", "w")
-    feeds = quantity_links(e.coeff.where("i_region < j_region")).select(
-        F.lit("block").alias("kind"), F.lit(None).cast("string").alias("region"), "src", "dst",
-        F.lit(9.0).alias("w"))
-    table = union_all([chain, ring, own, feeds]).withColumn(
-        "src", F.concat("kind", F.lit("|"), "src")).withColumn("dst", F.concat("kind", F.lit("|"), "dst"))
-    bounds = spectral_bounds(table, decide=None)
-    part = F.split(F.split("system", "\\|")[1], ":")[0]
-    found = bounds.select(F.split("system", "\\|")[0].alias("kind"), part.alias("region"), "hi")
-    asked = union_all([df.select("kind", "region").distinct() for df in (chain, ring, own)])
-    got = asked.join(found.groupBy("kind", "region").agg(F.max("hi").alias("hi")), ["kind", "region"], "left")
-    return rounded(got.select("kind", "region", F.coalesce("hi", F.lit(0.0)).alias("radius"), F.when(
-        F.coalesce("hi", F.lit(0.0)) < 1, "pass").otherwise("fail").alias("severity")), "radius", digits=6)
-
-
 def pinned_chain(spark, d):
     """A cost of 1 on every good of a steep chain, one of them pinned: logarithms of the prices."""
     goods = _numbered(economy(spark, d, "nation").output.select("region", "sector").distinct())
@@ -137,7 +102,7 @@ def stored_builds(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    spectral_gate, pinned_chain, upstream_peak, support_conflicts, balanced_report, stored_builds)}
+    pinned_chain, upstream_peak, support_conflicts, balanced_report, stored_builds)}
 
 _NATION_LABELS = """
 labels AS (SELECT region || ':' || sector AS label, x, row_number() OVER (ORDER BY region, sector) AS n FROM x)"""
@@ -160,12 +125,6 @@ UNION ALL SELECT 'open_fd_attribution', 'warn', NULL, NULL"""
 
 
 ORACLES = {
-    "spectral_gate": with_sql(economy_sql()) + f""",
-w AS (SELECT region, 0.5 + x / max(x) OVER () AS w FROM x)
-SELECT 'chain' AS kind, '' AS region, CAST(0 * count(*) AS DOUBLE) AS radius, 'pass' AS severity FROM w
-UNION ALL SELECT 'ring', region, {r6('exp(avg(ln(w)))', 6)}, CASE WHEN exp(avg(ln(w))) < 1 THEN 'pass' ELSE 'fail' END FROM w GROUP BY region
-UNION ALL SELECT DISTINCT 'block', region, CASE region WHEN 'ASIA' THEN 1.2::DOUBLE ELSE 0.5::DOUBLE END,
- CASE region WHEN 'ASIA' THEN 'fail' ELSE 'pass' END FROM w""",
     "pinned_chain": with_sql(economy_sql("nation")) + "," + _NATION_LABELS + f"""
 SELECT label, {r6(f"ln(CASE WHEN n < {PIN_AT} THEN (pow({STEEP}, n) - 1) / ({STEEP} - 1) ELSE {PIN} * pow({STEEP}, n - {PIN_AT}) + (pow({STEEP}, n - {PIN_AT}) - 1) / ({STEEP} - 1) END)")} AS log_price
 FROM labels""",
