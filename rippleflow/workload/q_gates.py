@@ -1,4 +1,4 @@
-"""Queries on damped solves, reach, balancing and stored builds."""
+"""Queries on damped solves, reach, and balancing."""
 
 from __future__ import annotations
 
@@ -9,14 +9,7 @@ from rippleflow.functions.labels import label
 from rippleflow.operators import sam
 from rippleflow.plans.fixpoint import iterate
 from rippleflow.plans.graphs import spread
-from rippleflow.plans.joins import union_all
-from rippleflow.plans.pipeline import Raw, store_builds
-from rippleflow.session import shared_folder
-from rippleflow.sources.store import BuildStore
-from rippleflow.workload import inputs
-from rippleflow.workload.common import (
-    economy_sql, multiset_sql, parts_sql, r6, rounded, with_sql,
-)
+from rippleflow.workload.common import economy_sql, r6, rounded, with_sql
 from rippleflow.workload.economy import economy
 from rippleflow.workload.q_sam import _CUBE, _uneven
 
@@ -77,32 +70,8 @@ def balanced_report(spark, d):
                    "value", digits=6)
 
 
-def stored_builds(spark, d):
-    """The economy through the whole build pipeline, read back from the store: fine and aggregated."""
-    e = economy(spark, d)
-    store = BuildStore(spark, shared_folder(spark, "builds"))
-    fine, coarse = store_builds(
-        store, "economy", Raw(e.flows, e.output, e.final_demand, e.stressors),
-        inputs.sector_groups(spark, d), e.output.select(
-            F.col("region").alias("source"), F.lit("ALL").alias("target"), F.lit(1.0).alias("weight")).distinct())
-    rows = []
-    for build_id in (fine, coarse):
-        tables = store.load(build_id)
-        rows.append(store.catalogue().where(F.col("build_id") == build_id).select(
-            "build_id", "aggregation", "quality_worst", "n_labels").join(
-            tables["output"].agg(F.sum("x").alias("x"))).join(
-            tables["final_demand"].agg(F.sum("value").alias("demand"))).join(
-            tables["satellite"].where("stressor = 'CO2'").join(
-                tables["output"], ["region", "sector"]).agg(
-                F.sum(F.col("intensity") * F.col("x")).alias("co2"))))
-    # cells are stored in single precision
-    got = union_all(rows)
-    return got.select("build_id", "aggregation", "quality_worst", "n_labels", *[
-        F.round(F.log10(c), 4).alias(c) for c in ("x", "demand", "co2")])
-
-
 QUERIES = {f.__name__: f for f in (
-    pinned_chain, upstream_peak, support_conflicts, balanced_report, stored_builds)}
+    pinned_chain, upstream_peak, support_conflicts, balanced_report)}
 
 _NATION_LABELS = """
 labels AS (SELECT region || ':' || sector AS label, x, row_number() OVER (ORDER BY region, sector) AS n FROM x)"""
@@ -141,18 +110,4 @@ SELECT 'row_without_cells' AS rule, account AS item FROM t WHERE target > 0 AND
 UNION ALL SELECT 'column_without_cells', account FROM t WHERE target > 0 AND account NOT IN (SELECT c FROM live)
 UNION ALL SELECT 'targets_disagree', item FROM sums WHERE abs(rows - columns) > 1e-9 * greatest(rows, columns)""",
     "balanced_report": _balanced_sql(),
-    "stored_builds": with_sql(economy_sql()) + f""",
-sg AS (SELECT DISTINCT p_type AS source, m.target, m.weight FROM part, LATERAL (VALUES
-  ('goods', CASE WHEN p_type = 'SMALL' THEN 0.25 WHEN p_type IN ('LARGE','MEDIUM','STANDARD') THEN 1.0 ELSE 0.0 END),
-  ('other', CASE WHEN p_type = 'SMALL' THEN 0.75 WHEN p_type IN ('LARGE','MEDIUM','STANDARD') THEN 0.0 ELSE 1.0 END))
-  AS m(target, weight) WHERE m.weight > 0),
-maps AS (SELECT {parts_sql("'sector'", 'source', 'target', "format('{:.10f}', weight::DOUBLE)")} AS t FROM sg
- UNION ALL SELECT DISTINCT {parts_sql("'region'", 'region', "'ALL'", "'1.0000000000'")} FROM x),
-h AS (SELECT substring(sha256(count(*)::VARCHAR || '|' || {multiset_sql('t')}), 1, 8) AS h FROM maps),
-v AS (SELECT (SELECT sum(x) FROM x) AS x, (SELECT sum(value) FROM fd) AS demand,
- (SELECT sum(t) FROM (SELECT sum(qty * (1 + tax)) AS t FROM fl)) AS co2)
-SELECT b.build_id, b.aggregation, b.worst AS quality_worst, b.n AS n_labels, round(log10(x), 4) AS x, round(log10(demand), 4) AS demand,
- round(log10(co2), 4) AS co2 FROM v, (
- SELECT 'economy' AS build_id, 'full' AS aggregation, 'pass' AS worst, (SELECT count(*) FROM (SELECT DISTINCT j_region, j_sector FROM coeff)) AS n
- UNION ALL SELECT 'economy-custom-' || h, 'custom', 'pass', (SELECT count(DISTINCT target) FROM sg) FROM h) b""",
 }
