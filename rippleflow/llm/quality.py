@@ -1,13 +1,23 @@
 """Quality by weak supervision: rules vote or abstain, their accuracies are estimated.
 
-Each rule votes good, bad or abstains on a document. Rules' accuracies and the share of good
-documents are estimated from the votes alone, by expectation-maximisation over the number of
-documents of each combination of votes: all documents count, and what the driver gets is one row
-per combination that occurs (at most three to the number of rules). A document is kept if its
-posterior probability of being good reaches the threshold and the base checks passed.
-
-Starting from rules that are right more often than not, the maximisation keeps that reading of
-"good": an accuracy never falls below one half.
+A rule scores a property of a document, higher is worse. It votes bad above the corpus's quantile
+``BAD``, good up to the quantile ``GOOD``, and abstains between them and where it has nothing to
+judge; neither bound lies below what the rule takes as harmless anyway, so a clean corpus gets no
+bad votes for being uneven. Quantiles are exact over scores in thousandths.
+
+The rules judge what the base checks let through. Two accuracies per rule, how often it is right on
+good and on bad documents, and the share of good documents are estimated from those votes alone, by
+expectation-maximisation over the number of documents of each combination of votes: all such
+documents count, and what the driver gets is one row per combination that occurs (at most three to
+the number of rules) and one per score (at most ``TOP`` a rule). A document is kept if its posterior
+probability of being good reaches the threshold and the base checks passed.
+
+One accuracy for both classes would not do: most rules find nothing wrong with most bad documents,
+so a rule's "good" must weigh little where its "bad" may weigh much. No character counts for two
+rules, as votes are taken as independent within a class. Starting from rules that are right more
+often than not, the maximisation keeps that reading of "good": a vote never speaks for the class
+that it names less often, and then weighs nothing. Where more than a tenth of what the base lets
+through is bad in one way, that rule names the worst tenth and abstains on the next.
 
 Defined cases: a missing text has no words and fails the base checks; rules abstain where they have
 nothing to judge; very long texts are read whole; repeated rows vote each; an empty table gives an
@@ -31,6 +41,10 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\v\f\r"
 ROUNDS = 200
+#: Votes are good up to the first of these quantiles of a score and bad above the second.
+GOOD, BAD = 0.75, 0.9
+#: Scores in thousandths end here.
+TOP = 10_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -122,67 +136,102 @@ def measure(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, METRICS)
 
 
-def vote(share: Column, good: float, bad: float) -> Column:
-    """1 (good) at most ``good``, -1 (bad) at least ``bad``, 0 between and where not defined."""
-    return F.when(share <= good, 1).when(share >= bad, -1).otherwise(0)
+BASE = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
+
+
+def thousandths(part: Column, whole: Column) -> Column:
+    """A share as a whole number up to ``TOP``; null where nothing is there to share."""
+    return F.least(F.floor(F.try_divide(1000 * part, whole)), F.lit(TOP)).cast("int")
+
 
+def word_length() -> Column:
+    return thousandths(F.col("word_chars"), F.col("n_words"))
 
-def rules() -> dict[str, Column]:
+
+def scores(usual: int) -> dict[str, tuple[Column, int]]:
+    """Score of each rule and the score up to which it is harmless; ``usual`` is the corpus's median
+    word length."""
     words, lines = F.col("n_words"), F.col("n_lines")
-    length = F.try_divide(F.col("word_chars"), words)
+    other = F.col("word_chars") - F.col("n_letters") - F.col("n_symbols")
     return {
-        "length": F.when(words >= 50, 1).when(words < 20, -1).otherwise(0),
-        "word_length": F.when(length.between(3, 10), 1).when((length < 2) | (length > 14), -1)
-                        .otherwise(0),
-        "symbols": vote(F.try_divide(F.col("n_symbols"), words), 0.02, 0.1),
-        "copied_lines": F.when(lines < 2, 0).otherwise(
-            vote(F.try_divide(F.col("n_dup_lines"), lines), 0.1, 0.3)),
-        "repeats": vote(F.try_divide(F.col("n_repeat_words"), words), 0.05, 0.2),
-        "letters": F.when(words == 0, 0).otherwise(vote(
-            1 - F.try_divide(F.col("n_letters"), F.col("word_chars")), 0.15, 0.3)),
-        "capitals": vote(F.try_divide(F.col("n_upper"), F.col("n_letters")), 0.1, 0.5),
-        "line_ends": F.when(lines < 3, 0).otherwise(
-            vote(1 - F.try_divide(F.col("n_ends"), lines), 0.5, 0.9)),
+        "symbols": (thousandths(F.col("n_symbols"), words), 20),
+        "word_length": (F.abs(word_length() - usual), 750),
+        "copied_lines": (F.when(lines > 1, thousandths(F.col("n_dup_lines"), lines)), 100),
+        "repeats": (thousandths(F.col("n_repeat_words"), words), 50),
+        "letters": (thousandths(other, F.col("word_chars")), 50),
+        "capitals": (thousandths(F.col("n_upper"), F.col("n_letters")), 100),
+        "line_ends": (F.when(lines > 2, thousandths(lines - F.col("n_ends"), lines)), 50),
+        "variety": (F.when(words >= 50, thousandths(words - F.col("n_kinds"), words)), 500),
     }
 
 
+def quantiles(table: DataFrame, columns: dict[str, Column], shares: tuple[float, ...]
+              ) -> dict[str, list[int | None]]:
+    """The least values that reach these shares of a column's counted values, or None without any."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("int").alias("value"))
+                               for n, c in columns.items()])).alias("one")
+    counted = table.select(each).where("one.value IS NOT NULL").groupBy(
+        "one.name", "one.value").agg(F.count("*").alias("n")).orderBy("name", "value").collect()
+    found: dict[str, list[int | None]] = {}
+    for name in columns:
+        values = np.array([r["value"] for r in counted if r["name"] == name], int)
+        upto = np.cumsum([r["n"] for r in counted if r["name"] == name])
+        found[name] = [int(values[np.searchsorted(upto, share * upto[-1])]) if len(values) else None
+                       for share in shares]
+    return found
+
+
+def rules(passed: DataFrame) -> dict[str, Column]:
+    """The vote of each rule, 1 good, -1 bad or 0, with bounds from ``passed``."""
+    usual = quantiles(passed, {"word_length": word_length()}, (0.5,))["word_length"][0]
+    scored = scores(usual or 0)
+    bounds = quantiles(passed, {n: c for n, (c, _) in scored.items()}, (GOOD, BAD))
+    return {name: F.when(score > max(harmless, bounds[name][1] or 0), -1)
+            .when(score <= max(harmless, bounds[name][0] or 0), 1).otherwise(0)
+            for name, (score, harmless) in scored.items()}
+
+
 def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS
              ) -> tuple[np.ndarray, np.ndarray, float]:
-    """Posterior of good for each combination, accuracy of each rule, share of good.
+    """Posterior of good for each combination, accuracies of each rule (on good, on bad), share of
+    good.
 
-    A rule that votes is right with its accuracy whatever the class, and abstains regardless of it.
+    A rule that votes is right with the accuracy of the class, and abstains regardless of it.
     """
-    accuracy, prior = np.full(votes.shape[1], 0.8), 0.8
+    good, bad, prior = np.full(votes.shape[1], 0.8), np.full(votes.shape[1], 0.8), 0.8
     posterior = np.zeros(len(votes))
-    voted = votes != 0
+    up, down = (votes > 0).astype(float), (votes < 0).astype(float)
     for _ in range(rounds):
-        weight = np.log(accuracy / (1 - accuracy))
-        odds = votes @ weight + math.log(prior / (1 - prior))
+        odds = (up @ np.log(good / (1 - bad)) + down @ np.log((1 - good) / bad)
+                + math.log(prior / (1 - prior)))
         new = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
-        right = np.where(votes > 0, new[:, None], 1 - new[:, None]) * voted
+        ups = np.stack([(new * counts) @ up, ((1 - new) * counts) @ up])
+        downs = np.stack([(new * counts) @ down, ((1 - new) * counts) @ down])
         # one imagined right and one imagined wrong vote keep accuracies off 0 and 1
-        accuracy = ((right * counts[:, None]).sum(0) + 1) / ((voted * counts[:, None]).sum(0) + 2)
-        accuracy = np.clip(accuracy, 0.5, 1 - 1e-6)
+        share = (ups + 1) / (ups + downs + 2)
+        pooled = (ups.sum(0) + 1) / (ups.sum(0) + downs.sum(0) + 2)
+        turned = share[0] < share[1]
+        good = np.clip(np.where(turned, pooled, share[0]), 1e-6, 1 - 1e-6)
+        bad = np.clip(np.where(turned, 1 - pooled, 1 - share[1]), 1e-6, 1 - 1e-6)
         prior = float(np.clip(((new * counts).sum() + 1) / (counts.sum() + 2), 0.01, 0.99))
         if np.abs(new - posterior).max(initial=0) < 1e-12:
             break
         posterior = new
-    return posterior, accuracy, prior
+    return posterior, np.stack([good, bad], axis=1), prior
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Counts, votes, posterior and verdict of every document."""
     spark = docs.sparkSession
-    named = rules()
-    measured = staged(measure(docs), "quality-metrics").withColumn(
-        "votes", F.array(*[c.cast("int") for c in named.values()]))
-    combined = measured.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()
+    measured = staged(measure(docs), "quality-metrics").withColumn("base_failed", F.expr(BASE))
+    named = rules(measured.where("NOT base_failed"))
+    measured = measured.withColumn("votes", F.array(*[c.cast("int") for c in named.values()]))
+    combined = measured.groupBy("votes").agg(
+        F.count_if(~F.col("base_failed")).alias("n")).orderBy("votes").collect()
     votes = np.array([r["votes"] for r in combined], int).reshape(-1, len(named))
     posterior, _, _ = estimate(votes, np.array([r["n"] for r in combined], float))
     table = spark.createDataFrame(
         [(v.tolist(), float(p)) for v, p in zip(votes, posterior)],
         "votes array<int>, posterior double")
-    failed = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
-    return (measured.join(F.broadcast(table), "votes", "left")
-            .withColumn("base_failed", failed)
-            .withColumn("kept", ~failed & (F.col("posterior") >= threshold)))
+    return measured.join(F.broadcast(table), "votes", "left").withColumn(
+        "kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
