@@ -43,7 +43,6 @@ LANES = 1 << 18
 PLANES_PER_STEP = 8
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
-BYTE_PLACES = np.arange(8, dtype=np.int64) * 256
 
 
 # ---- fingerprints ---------------------------------------------------------------------------
@@ -66,13 +65,28 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 def fingerprint(text: str | None, shingle: int) -> int:
     """Bits that are set in over half of the hashes of all shingles, repeats included."""
     hashes = shingle_hashes(text, shingle)
-    count = len(hashes)
-    if not count:
-        return 0
-    # how often each of the eight bytes has each value, then bits from byte values
-    octets = hashes.astype("<u8").view(np.uint8).reshape(count, 8) + BYTE_PLACES
-    counts = np.bincount(octets.ravel(), minlength=2048).reshape(8, 256) @ BYTE_BITS
-    return int(np.packbits(counts.ravel() * 2 > count, bitorder="little").view("<u8")[0])
+    return int(majorities(hashes.reshape(-1, 1))[0]) if len(hashes) else 0
+
+
+def majorities(hashes: np.ndarray) -> np.ndarray:
+    """One word for each column: bits that are set in over half of its hashes."""
+    count, words = hashes.shape
+    # how often each of the bytes has each value, then bits from byte values
+    octets = hashes.astype("<u8").view(np.uint8).reshape(count, 8 * words)
+    places = np.arange(8 * words, dtype=np.int64) * 256
+    counts = np.bincount((octets + places).ravel(), minlength=2048 * words).reshape(
+        -1, 256) @ BYTE_BITS
+    return np.packbits(counts.ravel() * 2 > count, bitorder="little").view("<u8")
+
+
+def wide_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint of ``64 * words`` bits; each further word takes the hashes mixed once more."""
+    if not len(hashes):
+        return np.zeros(words, np.uint64)
+    mixed = hashes[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        mixed = (mixed ^ mixed >> np.uint64(shift)) * np.uint64(factor)
+    return majorities(mixed ^ mixed >> np.uint64(31))
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
@@ -164,8 +178,15 @@ def _compare(vertical, members, own, word, valid, radius):
 def forest(members: np.ndarray, bucket: np.ndarray, radius: int,
            split: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the close pairs: members and the root that each hangs on."""
-    parent = np.arange(len(members))
-    for i, j in close_pairs(members, bucket, radius, split):
+    top = trees(close_pairs(members, bucket, radius, split), len(members))
+    moved = np.flatnonzero(top != np.arange(len(members)))
+    return members[moved], members[top[moved]]
+
+
+def trees(pairs: Iterator[tuple[np.ndarray, np.ndarray]], count: int) -> np.ndarray:
+    """The root of each of ``count`` positions, the least that the pairs join it with."""
+    parent = np.arange(count)
+    for i, j in pairs:
         while True:
             a, b = roots(parent, i), roots(parent, j)
             low, high = np.minimum(a, b), np.maximum(a, b)
@@ -173,9 +194,7 @@ def forest(members: np.ndarray, bucket: np.ndarray, radius: int,
             if not apart.any():
                 break
             np.minimum.at(parent, high[apart], low[apart])
-    top = roots(parent, np.arange(len(members)))
-    moved = np.flatnonzero(top != np.arange(len(members)))
-    return members[moved], members[top[moved]]
+    return roots(parent, np.arange(count))
 
 
 def roots(parent: np.ndarray, nodes: np.ndarray) -> np.ndarray:
