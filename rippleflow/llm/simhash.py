@@ -272,7 +272,8 @@ def links(unique: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3,
                     block: int = BLOCK) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document."""
-    rows = staged(fingerprints(docs, shingle), "fingerprints")
+    # of 16 bytes a row: a file for each few MB, not one for each task that read texts
+    rows = staged(fingerprints(docs, shingle).hint("rebalance"), "fingerprints")
     unique = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     label = components(links(unique, radius, block))
     named = unique.join(label, unique.fp == label.node, "left").select(
