@@ -227,13 +227,13 @@ def configurations(sizes: list[int], counts: list[int], capacity: int
     basis = np.diag([float(capacity // size) for size in sizes])
     inverse = np.diag(1 / np.diag(basis))
     demand = np.array(counts, float)
-    amount = inverse @ demand
+    amount = product(inverse, demand)
     for turn in range(1, 60 * k):
         price = inverse.sum(axis=0)
         best, column = knapsack(sizes, price, capacity)
         if best <= 1 + 1e-9:
             break
-        entering = inverse @ column
+        entering = product(inverse, column)
         ratios = np.where(entering > 1e-9, amount / np.where(entering > 1e-9, entering, 1), np.inf)
         leave = int(np.argmin(ratios))
         step = ratios[leave]
@@ -245,12 +245,36 @@ def configurations(sizes: list[int], counts: list[int], capacity: int
             inverse -= np.outer(entering, row)
             inverse[leave] = row
         else:  # rounding errors add up
-            inverse = np.linalg.inv(basis)
-            amount = np.maximum(inverse @ demand, 0)
+            inverse = inverted(basis)
+            amount = np.maximum(product(inverse, demand), 0)
     return [(tuple(int(round(x)) for x in basis[:, i]), float(amount[i])) for i in range(k)
             if amount[i] > 1e-9]
 
 
+def product(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(axis=1)
+
+
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with exchanged rows.
+
+    This and ``product`` are element by element: BLAS has threads of its own for them, which can
+    block one another for good in a process that has started a Spark session.
+    """
+    k = len(matrix)
+    both = np.hstack([matrix, np.eye(k)])
+    for i in range(k):
+        at = i + int(np.argmax(np.abs(both[i:, i])))
+        if not both[at, i]:
+            raise np.linalg.LinAlgError("singular matrix")
+        both[[i, at]] = both[[at, i]]
+        both[i] /= both[i, i]
+        factor = both[:, i].copy()
+        factor[i] = 0
+        both -= np.outer(factor, both[i])
+    return both[:, k:]
+
+
 def knapsack(sizes: list[int], price: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The dearest multiset of sizes that fits, by dynamic programming over the room, all rooms at
     once; a size is tried as often as it can fit."""
